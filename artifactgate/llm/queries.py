@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from artifactgate.llm import decontaminate
+from artifactgate.llm import decontaminate, minhash
 from artifactgate.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_decontaminate,)}
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE_SQL}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_decontaminate, op9_minhash)}
+
+ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL}
