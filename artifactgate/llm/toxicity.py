@@ -2,7 +2,7 @@
 
 Features of a whole text: densities of a fixed and of a learned lexicon, lexicon
 words near second-person words, capitals, punctuation, and obfuscated spellings.
-The learned lexicon holds words and four-letter word beginnings that occur far
+The learned lexicon holds words and word beginnings of four to seven letters that occur far
 more often in toxic training texts (log-likelihood ratio). Training uses at most
 ``SAMPLE`` labelled rows, taken by the hash of doc_id, whose crc32 remainder is
 not 0; of them those with remainder 4 fit the isotonic curve and the rest the
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +35,11 @@ from artifactgate.llm.common import stored
 SAMPLE = 20_000
 LEXICON_SIZE = 400
 #: Least log-likelihood ratio of a learned entry.
-MIN_RATIO = 12.0
-PREFIX = 4
+MIN_RATIO = 15.0
+#: Least times as frequent in toxic texts as in others.
+MIN_LIFT = 10.0
+#: Lengths of the word beginnings that are entries of their own.
+PREFIXES = 4, 5, 6, 7
 TREES, DEPTH = 20, 3
 
 #: Common insults of English, and second-person words of four languages.
@@ -51,12 +55,11 @@ _SHOUTED = re.compile(r"\b[A-Z]{3,}\b")
 _PUNCTUATION = re.compile(r"[^\w\s]")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
-FEATURES = 13
 
 
 def entries(word: str) -> tuple[str, ...]:
-    """A word's lexicon entries: itself and, of longer words, its beginning."""
-    return (word, word[:PREFIX] + "*") if len(word) > PREFIX else (word,)
+    """A word's lexicon entries: itself and, of longer words, its beginnings."""
+    return (word, *(word[:k] + "*" for k in PREFIXES if len(word) > k))
 
 
 def features(text: str, learned: dict[str, float]) -> list[float]:
@@ -73,6 +76,7 @@ def features(text: str, learned: dict[str, float]) -> list[float]:
     return [
         sum(weight.get(words[k], 0.0) for k in hits) / n,
         sum(weight.values()),
+        float(len(weight)),
         max(weight.values(), default=0.0),
         float(len(hits)),
         len(hits) / n,
@@ -105,18 +109,21 @@ def learn_lexicon(training: DataFrame) -> dict[str, float]:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = list({e for w in set(_WORD.findall(text.lower())) for e in entries(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic] * len(own), pa.int32())], ["entry", "toxic"])
+            for lo in range(0, len(batch), 512):
+                counts = Counter(), Counter()
+                for toxic, text in zip(batch.column(0).slice(lo, 512).to_pylist(), batch.column(1).slice(lo, 512).to_pylist()):
+                    counts[toxic].update({e for w in set(_WORD.findall(text.lower())) for e in entries(w)})
+                own = list(counts[0] | counts[1])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *(pa.array([counts[toxic][e] for e in own], pa.int64()) for toxic in (1, 0))], ["entry", "a", "b"])
 
     n = training.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     p, q = F.lit(n[0] + 1.0), F.lit(n[1] + 1.0)
-    counts = training.select("toxic", "text").mapInArrow(emit, "entry string, toxic int").groupBy("entry").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    counts = training.select("toxic", "text").dropDuplicates(["toxic", "text"]).mapInArrow(emit, "entry string, a bigint, b bigint").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     expected = (F.col("a") + F.col("b")) / (p + q)
     log = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     ratio = 2 * (log(F.col("a"), expected * p) + log(F.col("b"), expected * q))
     lift = F.log((F.col("a") + 0.25) / p) - F.log((F.col("b") + 0.25) / q)
-    best = counts.select("entry", ratio.alias("ratio"), lift.alias("lift")).where((F.col("lift") > math.log(4)) & (F.col("ratio") >= MIN_RATIO)).orderBy(F.desc("ratio"), "entry").limit(LEXICON_SIZE)
+    best = counts.select("entry", ratio.alias("ratio"), lift.alias("lift")).where((F.col("lift") > math.log(MIN_LIFT)) & (F.col("ratio") >= MIN_RATIO)).orderBy(F.desc("ratio"), "entry").limit(LEXICON_SIZE)
     return {r["entry"]: r["lift"] for r in best.collect()}
 
 
