@@ -188,14 +188,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     hit = find_hits(docs, benchmark, text_col, window)
     if mode == "documents":
         return hit.where(~contaminated(F.col("_n_words"), _n_hit())).select(*(f"`{c}`" for c in docs.columns))
-    place = docs.columns.index(text_col)
+    place, names = docs.columns.index(text_col), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None or not h else _without(t, [(x["lo"], x["hi"]) for x in h]) for t, h in zip(batch.column(place).to_pylist(), batch.column(len(docs.columns) + 1).to_pylist())]
-            columns = [*batch.columns[: len(docs.columns)]]
+            texts = [t if t is None or not h else _without(t, [(x["lo"], x["hi"]) for x in h]) for t, h in zip(batch.column(place).to_pylist(), batch.column(len(names) + 1).to_pylist())]
+            columns = [*batch.columns[: len(names)]]
             columns[place] = pa.array(texts, batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return hit.mapInArrow(cut, docs.schema)
 
