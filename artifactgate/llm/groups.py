@@ -2,28 +2,36 @@
 
 ``memberships`` says which nodes share which bucket (a band of a signature, a
 block of a fingerprint); a link can only stand between two members of one
-bucket, and ``verify`` tells which pairs are links. To find the groups it is
-enough to look at pairs that may join two groups, so the search goes in rounds.
-In each round every open bucket names hubs (one in the first round, ``GROWTH``
-times as many in each next one) and each hub is compared with the bucket's
-members outside its own group. A hub then leaves the bucket: all its pairs have
-been decided. A bucket whose members all stand in one group closes. The rounds
-go on until no bucket is open, so the result is that of verifying every pair.
-
-A bucket of near copies closes after its first round with one comparison a
-member. Buckets of dissimilar members need more, at most one comparison a pair.
+bucket. To find the groups it is enough to look at pairs that may join two
+groups, in three steps:
+
+1. One member of each bucket, its hub, is compared with the others. A bucket
+   whose members now all stand in one group closes.
+2. Where the operator has a bound on what a node can have in common with any
+   other, members that can't be linked leave their buckets. A second hub, the
+   member with most in common with others, is compared in buckets still open.
+3. What is open still is decided whole: a bucket's members are packed into
+   blocks of bounded size, and each pair of its blocks is compared in one task,
+   where pairs within a group are passed over. Only links come out.
+
+A bucket of near copies closes after one or two comparisons a member. The result
+is that of comparing every pair of every bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from artifactgate.llm.common import stored
 
-GROWTH = 8
+#: Nodes and bytes of a block.
+BLOCK_NODES, BLOCK_BYTES = 256, 1 << 20
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -51,34 +59,110 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def shared_buckets(memberships: DataFrame) -> DataFrame:
-    """The memberships (key, node) of buckets with two nodes or more."""
+    """The memberships (key, node, ...) of buckets with two nodes or more."""
     open_keys = memberships.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
-    return memberships.join(open_keys, "key").select("key", "node")
+    return memberships.join(open_keys, "key").select(*memberships.columns)
+
+
+def _open(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The members, with their groups, of buckets that hold two groups or more."""
+    if groups is not None:
+        members = members.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keys = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    return stored(members.join(keys, "key"), "members")
+
+
+def _with_hubs(members: DataFrame, order: str) -> DataFrame:
+    """The pairs (a, b), a < b, of each bucket's least member by ``order`` and its members of other groups."""
+    hubs = members.groupBy("key").agg(F.min(F.struct(F.col(order).alias("rank"), "node", "component")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("of"))
+    return members.join(hubs, "key").where("component <> of").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+class Block:
+    """The nodes of a block: their ids, groups and bodies."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.node = rows.field("node").to_numpy(zero_copy_only=False)
+        self.component = rows.field("component").to_numpy(zero_copy_only=False)
+        self.body = rows.field("body").to_pylist()
+
 
+def join_groups(a: Block, b: Block, order: Iterator[tuple[int, int]], linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """The links found among the index pairs of ``order``, passing over pairs that earlier links have joined."""
+    root: dict[int, int] = {}
 
-def linked_groups(memberships: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of every node with a link.
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
 
-    memberships: distinct (key, node) rows, both bigint, already stored.
-    verify: (a, b) pairs, a < b, to those that are links.
+    out = []
+    for i, j in order:
+        x, y = find(int(a.component[i])), find(int(b.component[j]))
+        if x != y and linked(i, j):
+            root[max(x, y)] = min(x, y)
+            out.append((int(a.node[i]), int(b.node[j])))
+    return out
+
+
+def _compared(members: DataFrame, bodies: DataFrame, compare: Callable[[Block, Block, int, bool], list[tuple[int, int]]]) -> DataFrame:
+    """The links (a, b) that join groups, over every pair of each bucket."""
+    sized = members.join(bodies, "node").withColumn("bytes", F.length("body"))
+    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    packed = sized.join(blocks, "key").groupBy("key", "part", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("node", "component", "body")).alias("rows"))
+    packed = stored(packed, "blocks")
+    other = packed.select(F.col("key").alias("of"), F.col("block").alias("second"), F.col("rows").alias("others"))
+    pairs = packed.join(other, (F.col("key") == F.col("of")) & (F.col("block") <= F.col("second")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k, (part, same) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                a = Block(batch.column(2)[k].values)
+                found += compare(a, a if same else Block(batch.column(3)[k].values), part, same)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    spark = members.sparkSession
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, "16")  # a row holds two blocks
+    try:
+        return stored(pairs.select("part", (F.col("block") == F.col("second")).alias("same"), "rows", "others").mapInArrow(run, "a bigint, b bigint"), "links")
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def linked_groups(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    bodies: Callable[[DataFrame], DataFrame],
+    compare: Callable[[Block, Block, int, bool], list[tuple[int, int]]],
+    narrow: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame | None:
+    """(node, component) of every node with a link; None without links.
+
+    members: (key, part, node), stored; ``part`` says which band or block the bucket is of.
+    verify: pairs (a, b) to those that are links.
+    bodies: (node) to (node, body binary), what ``compare`` needs to know.
+    compare: two blocks of a bucket, its part, and whether they are the same one, to links that join groups.
+    narrow: open members to those that may yet be linked, with a column ``alone``, small for nodes with much in common with others.
     """
-    spark = memberships.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    groups = spark.createDataFrame([], "node bigint, component bigint")
-    hubs_each = 1
-    while True:
-        grouped = memberships.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        opened = grouped.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-        left = stored(grouped.join(opened, "key").select("key", "node", "component"), "members")
-        if left.isEmpty():
-            return groups
-        # The least node of each of hubs_each parts of a bucket, by hash.
-        slot = F.pmod(F.xxhash64("node", F.lit(hubs_each)), F.lit(hubs_each))
-        hubs = left.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "component")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("of"))
-        pairs = left.join(hubs, "key").where("component <> of").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        found = stored(verify(stored(pairs, "pairs")), "links")
-        links = links.unionByName(found)
-        memberships = left.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+    members = members.withColumn("component", F.col("node"))
+    links, groups = None, None
+    for order in ("node", "alone" if narrow else None):
+        if order is None:
+            break
+        if order == "alone":
+            members = _open(narrow(members), None)
+        if members.isEmpty():
+            break
+        found = stored(verify(stored(_with_hubs(members, order), "pairs")), "links")
         if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
             groups = stored(connected_components(links), "groups")
-        hubs_each *= GROWTH
+        members = _open(members, groups)
+    if members.isEmpty():
+        return groups
+    found = _compared(members, bodies(members.select("node").distinct()), compare)
+    if found.isEmpty():
+        return groups
+    return stored(connected_components(found if links is None else links.unionByName(found)), "groups")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from artifactgate.llm import textops
 from artifactgate.llm.common import stored
-from artifactgate.llm.groups import linked_groups, shared_buckets
+from artifactgate.llm.groups import Block, join_groups, linked_groups, shared_buckets
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -114,7 +114,6 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) pairs whose full sets are similar enough."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up, down = SIMILARITY
         sets = lambda column: [s for _, _, data, at in textops.slices(column) for s in textops.shingle_sets(textops.split_words(data, at, textops.SPACED), SHINGLE)]
         for batch in batches:
             for lo in range(0, len(batch), 256):
@@ -122,7 +121,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep = []
                 for x, y in zip(sets(part.column(2)), sets(part.column(3))):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(down * both >= up * (len(x) + len(y) - both))
+                    keep.append(_enough(both, len(x), len(y)))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: texts.select(F.col("cls").alias(x), F.col("text").alias(f"t_{x}"))
@@ -142,6 +141,76 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.dropDuplicates(["cls"])
 
 
+def _enough(both, one, other) -> bool:
+    """100 * both >= 75 * (one + other - both), for sizes of an intersection and of two sets."""
+    return (SIMILARITY[0] + SIMILARITY[1]) * both >= SIMILARITY[0] * (one + other)
+
+
+def _narrowed(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members that share enough shingles with any others to be linked to a member of their bucket.
+
+    A node's shingles that no other open node has can't be in an intersection.
+    The count is exact: one row per shingle, those of one owner counted by node.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in textops.slices(batch.column(1)):
+                sets = list(textops.shingle_sets(textops.split_words(data, at, textops.SPACED), SHINGLE))
+                nodes = np.repeat(batch.column(0).slice(lo, hi - lo).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
+
+    nodes = members.select("node").distinct()
+    open_texts = texts.join(nodes.withColumnRenamed("node", "cls"), "cls", "left_semi").select("cls", "text")
+    owners = open_texts.mapInArrow(shingles, "node bigint, shingle bigint").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    alone = owners.groupBy("node").agg(F.count("*").alias("own"))
+    sizes = classes.select(F.col("cls").alias("node"), F.col("n_shingles").alias("size")).join(nodes, "node", "left_semi")
+    known = stored(sizes.join(alone, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own")), "shared")
+    members = members.join(known, "node")
+    least = members.groupBy("key").agg(F.min("size").alias("least"))
+    return members.join(least, "key").where(_enough(F.col("size") - F.col("own"), F.col("size"), F.col("least"))).select("key", "part", "node", "component", (F.col("own") / F.col("size")).alias("alone"))
+
+
+def _bodies(nodes: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, body): the signature and the shingle set, one behind the other."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in textops.slices(batch.column(1)):
+                sets = textops.shingle_sets(textops.split_words(data, at, textops.SPACED), SHINGLE)
+                own = [x + s.tobytes() for x, s in zip(batch.column(2).slice(lo, hi - lo).to_pylist(), sets)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(own, pa.binary())], ["node", "body"])
+
+    rows = texts.join(signatures.select("cls", "signature"), "cls").join(nodes.withColumnRenamed("node", "cls"), "cls", "left_semi")
+    return rows.select("cls", "text", "signature").mapInArrow(body, "node bigint, body binary")
+
+
+def compare(a: Block, b: Block, band: int, same: bool) -> list[tuple[int, int]]:
+    """Links that join groups: signature batches first, then the sets, most alike first.
+
+    A pair is decided in the first band that it shares.
+    """
+    width = 4 * PERMUTATIONS
+    left, right = (np.frombuffer(b"".join(x[:width] for x in side.body), dtype=np.uint32).reshape(-1, PERMUTATIONS) for side in (a, b))
+    apart = a.component[:, None] != b.component[None, :]
+    i, j = np.nonzero(np.triu(apart, 1) if same else apart)
+    matches = np.zeros(len(i), dtype=np.int64)
+    for n, least in least_matches(SIMILARITY[0] / SIMILARITY[1]):
+        matches += (left[i, n - BATCH : n] == right[j, n - BATCH : n]).sum(axis=1)
+        live = matches >= least
+        i, j, matches = i[live], j[live], matches[live]
+    rows = PERMUTATIONS // BANDS
+    first = np.zeros(len(i), dtype=bool)
+    for lo in range(0, len(i), 4096):
+        equal = (left[i[lo : lo + 4096]] == right[j[lo : lo + 4096]]).reshape(-1, BANDS, rows).all(axis=2)
+        first[lo : lo + 4096] = equal.argmax(axis=1) == band
+    order = np.flatnonzero(first)
+    order = order[np.argsort(-matches[order], kind="stable")]
+    sets_a, sets_b = ([np.frombuffer(x, dtype=np.uint64, offset=width) for x in side.body] for side in (a, b))
+    linked = lambda x, y: _enough(len(np.intersect1d(sets_a[x], sets_b[y], assume_unique=True)), len(sets_a[x]), len(sets_b[y]))
+    return join_groups(a, b, zip(i[order].tolist(), j[order].tolist()), linked)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row per row of ``docs``."""
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -149,14 +218,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     width = 4 * PERMUTATIONS // BANDS
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = stored(classes, "classes")
-    keys = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("signature", 1 + k * width, width)) for k in range(BANDS))))
-    members = stored(shared_buckets(classes.select(keys.alias("key"), F.col("cls").alias("node"))), "buckets")
+    keys = F.posexplode(F.array(*(F.xxhash64(F.lit(k), F.substring("signature", 1 + k * width, width)) for k in range(BANDS))))
+    members = stored(shared_buckets(classes.select(F.col("cls").alias("node"), keys.alias("part", "key"))), "buckets")
     nodes = members.select(F.col("node").alias("cls")).distinct()
     own = stored(classes.join(nodes, "cls", "left_semi"), "signatures")
     texts = stored(_texts_of(docs, own), "texts")
-    groups = linked_groups(members, lambda pairs: _verified(stored(_plausible(pairs, own), "plausible"), texts))
+    groups = linked_groups(
+        members,
+        verify=lambda pairs: _verified(stored(_plausible(pairs, own), "plausible"), texts),
+        bodies=lambda nodes: _bodies(nodes, own, texts),
+        compare=compare,
+        narrow=lambda x: _narrowed(x, own, texts),
+    )
     # The component's id is the least doc_id of its classes.
-    joined = classes.select("cls", F.col("doc_id").alias("least")).join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
+    joined = classes.select("cls", F.col("doc_id").alias("least"))
+    if groups is not None:
+        joined = joined.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
+    else:
+        joined = joined.withColumn("component", F.col("cls"))
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = joined.join(named, "component").select("cls", "component_id")
     out = rows.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
