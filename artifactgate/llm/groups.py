@@ -21,10 +21,11 @@ is that of comparing every pair of every bucket.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artifactgate.llm.common import stored
@@ -34,6 +35,17 @@ BLOCK_NODES, BLOCK_BYTES = 256, 1 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs that run inside: where a row is large, the usual number would not fit a task."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the links (a, b); nodes without links don't appear.
 
@@ -122,13 +134,8 @@ def _compared(members: DataFrame, bodies: DataFrame, compare: Callable[[Block, B
                 found += compare(a, a if same else Block(batch.column(3)[k].values), part, same)
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
-    spark = members.sparkSession
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, "16")  # a row holds two blocks
-    try:
+    with batches_of(members.sparkSession, 16):  # a row holds two blocks
         return stored(pairs.select("part", (F.col("block") == F.col("second")).alias("same"), "rows", "others").mapInArrow(run, "a bigint, b bigint"), "links")
-    finally:
-        spark.conf.set(_BATCH, before)
 
 
 def linked_groups(
