@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from artifactgate.llm import decontaminate, embeddings, lines, minhash, mixing, toxicity
+from artifactgate.llm import decontaminate, embeddings, lines, minhash, mixing, pii, quality, toxicity
 from artifactgate.llm.common import table
 
 
@@ -34,6 +34,14 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_decontaminate, op9_minhash, op6_toxicity, op4_lines, op1_mixing, op5_embeddings)}
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_decontaminate, op9_minhash, op6_toxicity, op4_lines, op1_mixing, op5_embeddings, op2_pii, op7_quality)}
 
 ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL, "op5_embeddings": embeddings.ORACLE_SQL}

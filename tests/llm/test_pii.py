@@ -1,0 +1,59 @@
+import random
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from artifactgate.llm import pii
+
+
+def plain(text):
+    out = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    for kind, p, lo, hi in (("card", r"[0-9]([\x20-]?[0-9])+", 12, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m.group())
+            if lo <= len(d) <= hi and (kind == "phone" or sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0):
+                out.append((*m.span(), kind))
+    return sorted(out, key=lambda x: (x[0], pii.KINDS.index(x[2])))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="a.@1-+ 0(9)é_%", max_size=60))
+def test_base_spans_equal_the_plain_patterns(text):
+    assert pii.base_spans(text) == plain(text)
+
+
+def test_luhn_numbers_and_long_runs():
+    assert [k for *_, k in pii.base_spans("x 4491382641088554 y")] == [k for *_, k in plain("x 4491382641088554 y")]
+    long = "1" * 200_000 + " " + "a" * 200_000 + "@" + "b." * 3
+    assert len(pii.base_spans(long)) == 1
+
+
+def test_report(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(300):
+        text = "Plain words here " * rng.randrange(5)
+        if k % 3 == 0:
+            text += f"please call 555-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)} today"
+        if k % 5 == 0:
+            text += f" see page {rng.randrange(10**7, 10**8)} of it"
+        if k % 7 == 0:
+            text += f" mail {k}@mail{k}.example.com or 10.0.0.{k % 256}"
+        rows.append((k, text, "en"))
+    rows += [(1000, None, None), (1001, "", "x"), (None, "+49 170 1234567", "x"), (0, rows[0][1], "en")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, spans string")
+    out = pii.report(frame).collect()
+    assert len(out) == len(rows)
+    by_text = dict((r[0], r[1]) for r in rows)
+    for r in out:
+        base = plain(by_text[r.doc_id] or "")
+        assert r.base_sha256 == pii.digest(base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for *_, k in base) for x in pii.BASE]
+        assert {f"{k}:{s}:{e}" for s, e, k in base} <= set(r.spans.split(","))
+    found = {r.doc_id: "number:" in r.spans for r in out}
+    calls = [k for k in range(300) if k % 3 == 0]
+    assert sum(found[k] for k in calls) > 0.95 * len(calls)
+    assert not any(found[k] for k in range(300) if k % 3 and k % 5 == 0)
+    assert pii.report(frame.limit(0)).count() == 0
