@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from artifactgate.llm import decontaminate, embeddings, lines, minhash, mixing, pii, quality, toxicity
+from artifactgate.llm import decontaminate, embeddings, lines, minhash, mixing, pii, preferences, quality, toxicity, warc
 from artifactgate.llm.common import table
 
 
@@ -42,6 +42,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_decontaminate, op9_minhash, op6_toxicity, op4_lines, op1_mixing, op5_embeddings, op2_pii, op7_quality)}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
-ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL, "op5_embeddings": embeddings.ORACLE_SQL}
+
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.report(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_decontaminate, op9_minhash, op6_toxicity, op4_lines, op1_mixing, op5_embeddings, op2_pii, op7_quality, op3_warc, op10_preferences)}
+
+ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL, "op5_embeddings": embeddings.ORACLE_SQL, "op10_preferences": preferences.ORACLE_SQL}
