@@ -21,29 +21,21 @@ is that of comparing every pair of every bucket.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from artifactgate.llm.common import stored
+from artifactgate.llm.common import setting, stored
 
 #: Nodes and bytes of a block.
 BLOCK_NODES, BLOCK_BYTES = 256, 1 << 20
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+def batches_of(spark: SparkSession, rows: int):
     """Arrow batches of so many rows for the jobs that run inside: where a row is large, the usual number would not fit a task."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, before)
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
