@@ -68,7 +68,8 @@ def encoded_findings(artifacts: DataFrame, hosts: list[str] | None = None) -> Da
     """
     runs = runs_of(artifacts, 64)
     kinds = (("base64", rules.BASE64), ("hex", rules.HEX), ("base32", rules.BASE32), ("base85", rules.BASE85))
-    blobs = F.flatten(F.array(*(F.transform(F.regexp_extract_all("run", F.lit(p), F.lit(0)), lambda b, k=k: F.struct(F.lit(k).alias("encoding"), b.alias("blob"))) for k, p in kinds)))
+    named = lambda k, p: F.transform(F.regexp_extract_all("run", F.lit(p), F.lit(0)), lambda b: F.struct(F.lit(k).alias("encoding"), b.alias("blob")))
+    blobs = F.flatten(F.array(*(named(k, p) for k, p in kinds)))
     found = runs.select("target_id", "path", F.explode(blobs).alias("b")).select("target_id", "path", "b.*").distinct()
     decoded = found.select("encoding", "blob").distinct().withColumn("text", payload_of("encoding", "blob")).where("text IS NOT NULL")
     return found.join(payload_verdict(decoded, hosts), ["encoding", "blob"]).select("target_id", "path", "encoding", "blob", "severity", "reason")

@@ -16,7 +16,7 @@ BASE = "region nation customer supplier part orders lineitem events documents em
 
 
 class Spark:
-    table = staticmethod(lambda name: "{" + name + "}")
+    table = staticmethod(lambda name: f"<{name}>")
     sha = staticmethod(lambda x: f"sha2({x}, 256)")
     split = staticmethod(lambda x: f"filter(split({x}, ','), v -> v <> '')")
     bytes = staticmethod(lambda x: f"encode({x}, 'UTF-8')")
@@ -152,8 +152,11 @@ def _closure(sql: str, dialect) -> list[tuple[str, str]]:
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     parts = _closure(f"FROM {name}", Spark)
     sql = "WITH " + ", ".join(f"{n} AS ({q})" for n, q in parts) + f" SELECT * FROM {name}"
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+    used = [t for t in BASE if f"<{t}>" in sql]
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for t in used:
+        sql = sql.replace(f"<{t}>", "{" + t + "}")
+    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 def oracle(sql: str, recursive: bool = False) -> str:
