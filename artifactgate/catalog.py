@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from artifactgate.plans import findings, formats  # noqa: F401
+from artifactgate.plans import facts, findings, formats, observe  # noqa: F401
 from artifactgate.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -44,7 +44,8 @@ def format_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BYTES}, f AS (SELECT path, ext, {_DETECT} AS format FROM s) SELECT path, ext AS claimed, format FROM f WHERE (ext = '.onnx' AND format <> 'onnx') OR (ext = '.pb' AND format <> 'tf_savedmodel') OR (ext = '.tflite' AND format <> 'tflite') OR (ext = '.pte' AND format <> 'executorch')")
 def disguised_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = frame(spark, sf_dir, "artifacts").select("path", formats.extension(F.col("path")).alias("claimed"), formats.detect(F.col("path"), F.col("content")).alias("format"))
+    # Exploded, so that the filter does not repeat the whole detection.
+    found = frame(spark, sf_dir, "artifacts").select("path", formats.extension(F.col("path")).alias("claimed"), F.explode(F.array(formats.detect(F.col("path"), F.col("content")))).alias("format"))
     want = F.create_map(*map(F.lit, (".onnx", "onnx", ".pb", "tf_savedmodel", ".tflite", "tflite", ".pte", "executorch")))
     return found.where(F.try_element_at(want, F.col("claimed")) != F.col("format"))
 
