@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from artifactgate.llm.common import stored
 
-LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçáíóúñ"
+#: Lower-case letters whose counts the classifier sees.
+LETTERS = "etaoinsrhlducmpgwfbäöüßéèçñóí"
 EVIDENCE = 64
 #: Domains that a mix may have; error vectors of this length come to the driver.
 MAX_DOMAINS = 500
@@ -57,8 +58,9 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("double")
 
 
-def letter_counts(low: Column) -> Column:
-    return F.array(*((F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
+def letter_counts(text: Column) -> Column:
+    """How often each letter occurs, from the bytes that go when it is taken out."""
+    return F.array(*(((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))) / F.lit(len(c.encode()))).cast("double") for c in LETTERS))
 
 
 def fit(labelled: DataFrame) -> Model | None:
@@ -133,20 +135,26 @@ def draws(rate: Column, doc_id: Column) -> Column:
     return (F.floor(rate) + (part < rate - F.floor(rate)).cast("long")).cast("bigint")
 
 
-def mixed(docs: DataFrame, labelled_ids: DataFrame, domain_col: str = "lang", targets: Mapping[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """``docs`` with ``_tokens``, ``_posterior``, ``_rate`` and ``_copies`` added, and the domains in the posteriors' order.
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
-    labelled_ids: (doc_id) of the rows of ``docs`` whose domain column is a label.
+
+def counted(docs: DataFrame, domain_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, domain, tokens, letters), stored: all that the fit and the rates need to know of a document."""
+    text = _text(text_col)
+    return stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{domain_col}`").cast("string").alias("domain"), token_count(text).alias("tokens"), letter_counts(text).alias("letters")), "letters")
+
+
+def solved(narrow: DataFrame, labelled_ids: DataFrame, targets: Mapping[str, float] | None = None) -> tuple[Model | None, list[list[float]]]:
+    """The classifier and the steps that lead to the rates.
+
+    labelled_ids: (doc_id) of the rows of ``narrow`` whose domain is a label.
     targets: weight of each domain; their sum is that of the documents' tokens.
     """
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    letters = letter_counts(F.lower(text))
-    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{domain_col}`").cast("string").alias("domain"), token_count(text).alias("tokens"), letters.alias("letters"))
-    narrow = stored(narrow, "letters")
     chosen = labelled_ids.select(F.col("doc_id").alias("of")).where("of IS NOT NULL").distinct()
     model = fit(narrow.join(chosen, F.col("doc_id") == F.col("of"), "left_semi"))
     if model is None:
-        return docs.withColumns({"_tokens": token_count(text), "_posterior": F.lit(None).cast("array<double>"), "_rate": F.lit(1.0), "_copies": F.lit(1).cast("bigint")}), []
+        return None, []
     if targets is not None and set(targets) - set(model.domains):
         raise ValueError(f"no labelled rows of {sorted(set(targets) - set(model.domains))}")
     memberships = stored(narrow.select("tokens", posterior(F.col("letters"), model).alias("posterior")), "posteriors")
@@ -154,11 +162,22 @@ def mixed(docs: DataFrame, labelled_ids: DataFrame, domain_col: str = "lang", ta
     if targets is not None:
         total = memberships.agg(F.sum("tokens")).first()[0] or 0.0
         want = [total * targets.get(d, 0.0) / sum(targets.values()) for d in model.domains]
-    steps = solve(memberships, want, len(model.domains))
-    out = docs.withColumns({"_tokens": token_count(text), "_letters": letters})
-    out = out.withColumn("_posterior", posterior(F.col("_letters"), model)).drop("_letters")
+    return model, solve(memberships, want, len(model.domains))
+
+
+def with_rates(rows: DataFrame, letters: Column, model: Model | None, steps: list[list[float]], id_col: str = "doc_id") -> DataFrame:
+    """``rows`` with ``_posterior``, ``_rate`` and ``_copies`` added."""
+    if model is None:
+        return rows.withColumns({"_posterior": F.lit(None).cast("array<double>"), "_rate": F.lit(1.0), "_copies": F.lit(1).cast("bigint")})
+    out = rows.withColumn("_posterior", posterior(letters, model))
     out = out.withColumn("_rate", rate(F.col("_posterior"), steps))
-    return out.withColumn("_copies", draws(F.col("_rate"), F.col(f"`{id_col}`"))), model.domains
+    return out.withColumn("_copies", draws(F.col("_rate"), F.col(f"`{id_col}`")))
+
+
+def mixed(docs: DataFrame, labelled_ids: DataFrame, domain_col: str = "lang", targets: Mapping[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``_posterior``, ``_rate`` and ``_copies`` added; texts are read again rather than shuffled."""
+    model, steps = solved(counted(docs, domain_col, id_col, text_col), labelled_ids, targets)
+    return with_rates(docs, letter_counts(_text(text_col)), model, steps, id_col)
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
@@ -168,6 +187,8 @@ def good_ids(labels: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, tokens, posterior (domain -> probability), rate and copies, a row per document."""
-    out, domains = mixed(docs.select("doc_id", "text", "lang"), good_ids(labels))
-    named = F.map_from_arrays(F.array(*map(F.lit, domains)), "_posterior") if domains else F.lit(None).cast("map<string,double>")
-    return out.select("doc_id", F.col("_tokens").cast("bigint").alias("tokens"), F.to_json(named).alias("posterior"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    narrow = counted(docs, "lang")
+    model, steps = solved(narrow, good_ids(labels))
+    out = with_rates(narrow, F.col("letters"), model, steps)
+    named = F.map_from_arrays(F.array(*map(F.lit, model.domains)), "_posterior") if model else F.lit(None).cast("map<string,double>")
+    return out.select("doc_id", F.col("tokens").cast("bigint").alias("tokens"), F.to_json(named).alias("posterior"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
