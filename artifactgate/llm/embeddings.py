@@ -39,8 +39,8 @@ COSINE = 0.9
 SAMPLE, SAMPLE_VALUES = 10_000, 2_000_000
 ROUNDS = 30
 #: Bits of a rotation's code at most, of a table's key, and bits of a key that a look-up turns.
-BITS, CHUNK, PROBES = 64, 12, 4
-ROTATIONS = 2
+BITS, CHUNK, PROBES = 64, 16, 4
+ROTATIONS = 3
 #: Standard deviations above the expected number of differing bits, at COSINE, up to which codes count as near.
 NEAR = 6
 
