@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from artifactgate.llm.common import stored
 
-#: Lower-case letters whose counts the classifier sees.
-LETTERS = "etaoinsrhlducmpgwfbäöüßéèçñóí"
+#: Letters whose counts the classifier sees, capitals included.
+LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçáíóúñ"
 EVIDENCE = 64
 #: Domains that a mix may have; error vectors of this length come to the driver.
 MAX_DOMAINS = 500
@@ -59,7 +59,8 @@ def token_count(text: Column) -> Column:
 
 
 def letter_counts(text: Column) -> Column:
-    """How often each letter occurs, from the bytes that go when it is taken out."""
+    """How often each letter occurs in either case, from the bytes that go when it is taken out."""
+    text = F.lower(text)
     return F.array(*(((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))) / F.lit(len(c.encode()))).cast("double") for c in LETTERS))
 
 

@@ -51,3 +51,16 @@ def test_no_labels_and_empty_tables(spark):
     assert {(r.rate, r.copies, r.posterior) for r in mixing.report(docs, labels.limit(0)).collect()} == {(1.0, 1, None)}
     assert mixing.report(docs.limit(0), labels).count() == 0
     assert mixing.mixed(docs, labels).columns == [*docs.columns, "_posterior", "_rate", "_copies"]
+
+
+def test_capitals_and_held_out_accuracy(spark):
+    docs, labels = corpus(spark)
+    capitals = docs.where("doc_id < 400").selectExpr("doc_id + 1000 AS doc_id", "upper(replace(text, 'ß', 's')) AS text", "lang", "rate")
+    lower = docs.where("doc_id < 400").selectExpr("doc_id + 2000 AS doc_id", "replace(text, 'ß', 's') AS text", "lang", "rate")
+    out = {r.doc_id: r for r in mixing.report(docs.union(capitals).union(lower), labels).collect()}
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    for k in range(400):
+        assert out[1000 + k].posterior == out[2000 + k].posterior
+    guess = lambda k: max((p := json.loads(out[k].posterior)), key=p.get)
+    held_out = [k for k in range(1, 400, 2)]
+    assert sum(guess(k) == lang[k] for k in held_out) >= 0.99 * len(held_out)
