@@ -53,10 +53,10 @@ def xor_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def low_plane_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indicators in the lowest bytes of 4-byte elements: each document's first characters spread over one plane."""
-    spread = F.encode(F.array_join(F.transform(F.split(F.substring("text", 1, 400), ""), lambda c: F.concat(c, F.lit("\x00\x00\x00"))), ""), "ISO-8859-1")
+    """Indicators in the lowest bytes of 4-byte elements: each text's characters spread over one plane."""
+    spread = F.encode(F.regexp_replace("text", "(.)", "$1\x00\x00\x00"), "ISO-8859-1")
     tensors = frame(spark, sf_dir, "text_artifacts").select("target_id", "path", F.concat(F.lit("https://evil.example.net/x "), F.regexp_replace("text", r"[^\x20-\x7e]", "")).alias("text")).select("target_id", "path", spread.alias("content"))
-    return indicators.indicator_findings(raw.low_planes(tensors)).select("target_id", "path", "rule_id", "key", "severity")
+    return indicators.indicator_findings(raw.low_planes(tensors, most=None)).select("target_id", "path", "rule_id", "key", "severity")
 
 
 FIXTURES["json_bodies"] = lambda d: f"SELECT source AS target_id, CAST(doc_id AS STRING) AS path, {d.bytes(chr(39) + chr(123) + chr(34) + 'a' + chr(34) + ':[' + chr(123) + chr(34) + 'auto_map' + chr(34) + ':' + chr(123) + chr(34) + 'm' + chr(34) + ':' + chr(34) + 'x.Y' + chr(34) + chr(125) + chr(125) + ']' + chr(125) + chr(39))} AS content FROM {d.table('documents')}"
