@@ -16,6 +16,10 @@ groups, in three steps:
 
 A bucket of near copies closes after one or two comparisons a member. The result
 is that of comparing every pair of every bucket.
+
+What is joined by a key that may be hot is counted by that key first, and the
+counts are stored: both sides of the join are then plain shuffles, of which
+adaptive execution splits those partitions that a hot key fills.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from artifactgate.llm.common import setting, stored
+from artifactgate.llm.common import discard, setting, stored
 
 #: Nodes and bytes of a block.
 BLOCK_NODES, BLOCK_BYTES = 256, 1 << 20
@@ -49,12 +53,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = stored(small.where("u <> v").distinct(), "edges")
+        near = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stored(both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        far = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(far, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        last, edges = edges, stored(small.where("u <> v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(last, near, large, far)
         if now == before or not now[0]:
             break
         before = now
@@ -64,22 +69,22 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 def shared_buckets(memberships: DataFrame) -> DataFrame:
     """The memberships (key, node, ...) of buckets with two nodes or more."""
-    open_keys = memberships.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
+    open_keys = stored(memberships.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key"), "keys")
     return memberships.join(open_keys, "key").select(*memberships.columns)
 
 
 def _open(members: DataFrame, groups: DataFrame | None) -> DataFrame:
     """The members, with their groups, of buckets that hold two groups or more."""
     if groups is not None:
-        members = members.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keys = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+        members = stored(members.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
+    keys = stored(members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key"), "keys")
     return stored(members.join(keys, "key"), "members")
 
 
 def _with_hubs(members: DataFrame, order: str) -> DataFrame:
     """The pairs (a, b), a < b, of each bucket's least member by ``order`` and its members of other groups."""
     hubs = members.groupBy("key").agg(F.min(F.struct(F.col(order).alias("rank"), "node", "component")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("of"))
-    return members.join(hubs, "key").where("component <> of").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return members.join(stored(hubs, "hubs"), "key").where("component <> of").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 class Block:
