@@ -2,12 +2,12 @@
 
 Every benchmark item becomes a set of word windows (13 consecutive words; an
 item with fewer words is one window). The windows' hashes are broadcast, in
-parts of at most ``MAX_WINDOWS`` each, so what a task holds is bounded however
-large the benchmark grows. Each document's windows are hashed with numpy, looked
+parts of at most ``MAX_WINDOWS`` each, one at a time, so what a task and the driver
+hold is bounded however large the benchmark grows. Each document's windows are hashed with numpy, looked
 up in the sorted hashes, and every hit is verified on the words themselves.
 Texts are never shuffled: with one part (the usual case) the scan is one narrow
-stage; with more parts each part adds one more scan whose hits are merged by
-document, still without moving text.
+stage; with more parts each part adds one more scan, whose result is stored with
+its hits merged into each row, still without a shuffle.
 
 Defined results: a null or empty text has no words and is never hit; an item
 without words hits nothing; a null item_id takes part in hits but is not named
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from artifactgate.llm import textops
-from artifactgate.llm.common import stored
+from artifactgate.llm.common import discard, stored
 
 WINDOW = 13
 #: Windows of one broadcast part: about 300 bytes each with their words, so 60 MB at most.
@@ -65,6 +65,8 @@ class _Lookup:
 
     def __init__(self, rows: list[tuple[str | None, int, str]]):
         self.by_width: dict[int, tuple[np.ndarray, dict[int, list[tuple[str | None, bytes]]]]] = {}
+        #: By width, which low bits of a hash occur: a small table that turns most windows away.
+        self.low: dict[int, np.ndarray] = {}
         for width in sorted({r[1] for r in rows}):
             entries: dict[int, list[tuple[str | None, bytes]]] = {}
             own = [(item, gram.encode()) for item, w, gram in rows if w == width]
@@ -73,7 +75,10 @@ class _Lookup:
             words = textops.split_words(data, at, textops.ALNUM)
             for (item, gram), lo in zip(own, words.first[:-1]):
                 entries.setdefault(int(textops.windows(words.hash[lo : lo + width], width)[0]), []).append((item, gram))
-            self.by_width[width] = np.array(sorted(entries), dtype=np.uint64), entries
+            keys = np.array(sorted(entries), dtype=np.uint64)
+            self.by_width[width] = keys, entries
+            self.low[width] = np.zeros(1 << 20, dtype=bool)
+            self.low[width][(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
 
 def _find(lookup: _Lookup, words: textops.Words) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
@@ -85,9 +90,7 @@ def _find(lookup: _Lookup, words: textops.Words) -> Iterator[tuple[int, list[tup
         every = textops.windows(words.hash, width)
         if not len(every):
             continue
-        small = np.zeros(1 << 20, dtype=bool)
-        small[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
-        at = np.flatnonzero(small[(every & np.uint64(0xFFFFF)).astype(np.int64)])
+        at = np.flatnonzero(lookup.low[width][(every & np.uint64(0xFFFFF)).astype(np.int64)])
         place = np.minimum(np.searchsorted(keys, every[at]), len(keys) - 1)
         at = at[keys[place] == every[at]]
         found += [(int(p), width, int(every[p])) for p in at]
@@ -136,9 +139,10 @@ def _without(text: str, ranges: list[tuple[int, int]]) -> str:
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` with n_words, hits (merged word ranges, end exclusive) and items (sorted ids of the items hit) added.
 
-    The columns are named ``_n_words``, ``_hits`` and ``_items``, so that they clash with none of the table's own.
+    The columns are named ``_n_words``, ``_hits`` and ``_items``; columns of the table that have these names are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop("_n_words", "_hits", "_items")
     grams = stored(benchmark_windows(benchmark, window=window), "windows")
     parts = max(1, -(-grams.count() // max_windows))
     out = docs.withColumns({"_n_words": F.lit(None).cast("bigint"), "_hits": F.array().cast("array<struct<lo:int,hi:int>>"), "_items": F.array().cast("array<string>")})
@@ -165,7 +169,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
                 new = [pa.array(n_words, pa.int64()), pa.array([[{"lo": a, "hi": b} for a, b in x] for x in hits], kind), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *new], names)
 
-        out = out.mapInArrow(scan, out.schema)
+        last, out = out, out.mapInArrow(scan, out.schema)
+        if parts > 1:
+            out = stored(out, "hits")
+            held.destroy()
+            if part:
+                discard(last)
     return out
 
 

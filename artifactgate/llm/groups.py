@@ -45,24 +45,20 @@ def batches_of(spark: SparkSession, rows: int):
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the links (a, b); nodes without links don't appear.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014) until the
-    edge set stays the same. Each step is a min per node and a join; edges never
+    Alternates large-star and small-star steps (Kiveris et al. 2014) until all
+    edges are stars. Each step is a min per node and a join; edges never
     exceed the input's, and hot hubs are pre-aggregated before the shuffle.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    # Done once every node is linked with its smallest alone: no smaller end of an edge is the larger end of another.
+    while not edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() or not edges.groupBy("u").count().where("count > 1").isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = stored(both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         far = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(far, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         last, edges = edges, stored(small.where("u <> v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(last, near, large, far)
-        if now == before or not now[0]:
-            break
-        before = now
     roots = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
 
@@ -116,12 +112,14 @@ def join_groups(a: Block, b: Block, order: Iterator[tuple[int, int]], linked: Ca
 
 def _compared(members: DataFrame, bodies: DataFrame, compare: Callable[[Block, Block, int, bool], list[tuple[int, int]]]) -> DataFrame:
     """The links (a, b) that join groups, over every pair of each bucket."""
-    sized = members.join(bodies, "node").withColumn("bytes", F.length("body"))
-    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
-    packed = sized.join(blocks, "key").groupBy("key", "part", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("node", "component", "body")).alias("rows"))
+    sized = stored(members.join(bodies, "node").withColumn("bytes", F.length("body")), "sized")
+    blocks = stored(sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks")), "counts")
+    packed = sized.join(blocks, "key").groupBy("key", "part", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("node", "component", "body")).alias("rows"))
     packed = stored(packed, "blocks")
-    other = packed.select(F.col("key").alias("of"), F.col("block").alias("second"), F.col("rows").alias("others"))
-    pairs = packed.join(other, (F.col("key") == F.col("of")) & (F.col("block") <= F.col("second")))
+    # A block goes to every pair that it is in, so that the pairs of a large bucket are dealt over all tasks.
+    one = packed.select("key", "part", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), "rows")
+    other = packed.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("i"), F.col("block").alias("j"), F.col("rows").alias("others"))
+    pairs = one.join(other, ["key", "i", "j"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +130,7 @@ def _compared(members: DataFrame, bodies: DataFrame, compare: Callable[[Block, B
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     with batches_of(members.sparkSession, 16):  # a row holds two blocks
-        return stored(pairs.select("part", (F.col("block") == F.col("second")).alias("same"), "rows", "others").mapInArrow(run, "a bigint, b bigint"), "links")
+        return stored(pairs.select("part", (F.col("i") == F.col("j")).alias("same"), "rows", "others").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
 def linked_groups(

@@ -29,9 +29,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from artifactgate.llm import textops
-from artifactgate.llm.common import stored
+from artifactgate.llm.common import discard, stored
 from artifactgate.llm.groups import Block, join_groups, linked_groups, shared_buckets
 
 SHINGLE = 5
@@ -76,7 +77,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                         cls[k], signature[k] = _class_id(sets[k]), row.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signature, pa.binary())], ["doc_id", "cls", "n_shingles", "signature"])
 
-    return docs.mapInArrow(sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls bigint, n_shingles bigint, signature binary")
+    return docs.mapInArrow(sketch, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("cls bigint, n_shingles bigint, signature binary").fields]))
 
 
 def _tail(matches: int, of: int, similarity: float) -> float:
@@ -166,8 +167,8 @@ def _narrowed(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataF
     alone = owners.groupBy("node").agg(F.count("*").alias("own"))
     sizes = classes.select(F.col("cls").alias("node"), F.col("n_shingles").alias("size")).join(nodes, "node", "left_semi")
     known = stored(sizes.join(alone, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own")), "shared")
-    members = members.join(known, "node")
-    least = members.groupBy("key").agg(F.min("size").alias("least"))
+    members = stored(members.join(known, "node"), "sized")
+    least = stored(members.groupBy("key").agg(F.min("size").alias("least")), "least")
     return members.join(least, "key").where(_enough(F.col("size") - F.col("own"), F.col("size"), F.col("least"))).select("key", "part", "node", "component", (F.col("own") / F.col("size")).alias("alone"))
 
 
@@ -236,16 +237,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = joined.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
     else:
         joined = joined.withColumn("component", F.col("cls"))
-    named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = joined.join(named, "component").select("cls", "component_id")
-    out = rows.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
-    out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    joined = stored(joined, "components")
+    named = stored(joined.groupBy("component").agg(F.min("least").alias("component_id")), "named")
+    of_class = stored(joined.join(named, "component").select("cls", "component_id"), "classes")
+    discard(members, own, texts, joined, named)
+    full = rows.where("cls IS NOT NULL").select("doc_id", "n_shingles", "cls").join(of_class, "cls").select("doc_id", "n_shingles", "component_id")
+    empty = rows.where("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, that with the smallest doc_id."""
-    gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select("doc_id").distinct().withColumnRenamed("doc_id", "_gone")
+    # Stored: rows that go may share one id, and their join is then split.
+    gone = stored(near_duplicates(docs, id_col, text_col).where("NOT kept").select("doc_id").distinct(), "gone").withColumnRenamed("doc_id", "_gone")
     return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["_gone"]), "left_anti")
 
 

@@ -52,4 +52,4 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_decontaminate, op9_minhash, op6_toxicity, op4_lines, op1_mixing, op5_embeddings, op2_pii, op7_quality, op3_warc, op10_preferences)}
 
-ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL, "op5_embeddings": embeddings.ORACLE_SQL, "op10_preferences": preferences.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op5_embeddings": embeddings.ORACLE_SQL, "op10_preferences": preferences.ORACLE_SQL}

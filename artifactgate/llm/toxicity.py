@@ -12,7 +12,7 @@ Defined results: a null text counts as empty, and empty texts are scored as any
 other; a null doc_id is never learned from and counts as held out; of repeated
 labels of a document the largest counts; without labels of both kinds every
 score is the share of toxic labels (0 without labels). Columns of any other
-name stay out of the scores.
+name stay out of the scores; one named _toxicity is replaced.
 """
 
 from __future__ import annotations
@@ -141,6 +141,7 @@ def _with_features(rows: DataFrame, text_col: str, learned: dict[str, float], na
 
 def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with a column ``_toxicity`` from 0 to 1."""
+    docs = docs.drop("_toxicity", "_toxic_features", "_toxic_vector", "_toxic_class", "_toxic_raw", "_toxic_probability", "_toxic_x")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     training = stored(_training(rows, labels), "training")
     fit, curve = training.where("rest <> 4"), training.where("rest = 4")

@@ -11,8 +11,8 @@ task gives its packages names of their own and returns a manifest; only packages
 that a finished task returned are read, so a lost or repeated task leaves no
 record twice.
 
-Defined results: a null html is an empty payload; a null page_id is written as
-empty and comes after all others; of rows that repeat the smallest page_id of a
+Defined results: a null html is an empty payload; a null page_id is written as a
+record id of its own kind and comes after all others; of rows that repeat the smallest page_id of a
 payload each is a response. Other columns are passed over.
 """
 
@@ -27,11 +27,13 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from artifactgate.llm.common import shared_dir, stored
 
@@ -47,12 +49,20 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def _urn(page: str | None) -> str:
+    return "<urn:null:page>" if page is None else f"<urn:page:{quote(page, safe='')}>"
+
+
+def _page(urn: str) -> str | None:
+    return unquote(urn[len("<urn:page:") : -1]) if urn.startswith("<urn:page:") else None
+
+
+def record(page: str | None, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC record; with ``refers_to`` a revisit, which has no payload of its own."""
     block = _HTTP + (b"" if refers_to is not None else payload)
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page)}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -137,7 +147,7 @@ class _Writer:
         self.data = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
         self.at, self.index = 0, []
 
-    def add(self, page: str, raw: bytes) -> None:
+    def add(self, page: str | None, raw: bytes) -> None:
         own = gzip.compress(raw, 4, mtime=0)
         self.data.write(own)
         self.index.append(json.dumps({"page": page, "offset": self.at, "length": len(own)}))
@@ -165,7 +175,7 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for page, url, html, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 writer = writer or _Writer(fs, f"{base}/{uuid.uuid4().hex}.wacz")
-                page = "" if page is None else str(page)
+                page = None if page is None else str(page)
                 clean = " ".join((url or "").split())
                 writer.add(page, record(page, clean, (html or "").encode(), digest, None if refers is None else str(refers)))
                 if writer.at >= PACKAGE_BYTES:
@@ -199,8 +209,7 @@ def read_packages(manifest: DataFrame, folder: str) -> DataFrame:
                             if kind == "response" and digest != digest_of(payload):
                                 raise ValueError(f"the payload of {headers['warc-record-id']} is not what its digest says")
                             refers = headers.get("warc-refers-to")
-                            of = lambda x: x[len("<urn:page:") : -1]
-                            rows.append((of(headers["warc-record-id"]), int(headers["x-payload-length"]), digest, kind, refers and of(refers), payload))
+                            rows.append((_page(headers["warc-record-id"]), int(headers["x-payload-length"]), digest, kind, refers and _page(refers), payload))
                         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     n = max(1, min(10_000, manifest.count()))
@@ -219,17 +228,18 @@ def with_revisits(pages: DataFrame) -> DataFrame:
             payloads = [(h or "").encode() for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest_of(p) for p in payloads]), pa.array([len(p) for p in payloads], pa.int64())], ["page_id", "digest", "size"])
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    digests = stored(pages.select("page_id", "html").mapInArrow(hashed, f"page_id {kind}, digest string, size bigint"), "digests")
-    first = digests.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    refers = digests.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("of"), F.col("digest").alias("same"), "first").distinct()
+    page = pages.schema["page_id"]
+    digests = stored(pages.select("page_id", "html").mapInArrow(hashed, T.StructType([page, *T.StructType.fromDDL("digest string, size bigint").fields])), "digests")
+    # Stored, so that a payload that a great part of the pages share is split by adaptive execution in both joins.
+    first = stored(digests.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL"), "first")
+    refers = stored(digests.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("of"), F.col("digest").alias("same"), "first").distinct(), "refers")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.array([digest_of((h or "").encode()) for h in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, own], ["page_id", "url", "html", "digest"])
 
-    rows = pages.select("page_id", "url", "html").mapInArrow(named, f"page_id {kind}, url string, html string, digest string")
+    rows = pages.select("page_id", "url", "html").mapInArrow(named, T.StructType([page, *T.StructType.fromDDL("url string, html string, digest string").fields]))
     joined = rows.join(refers, rows["page_id"].eqNullSafe(refers["of"]) & (rows["digest"] == refers["same"]), "left")
     return joined.select("page_id", "url", "html", "digest", F.col("first").alias("refers_to"))
 
@@ -240,5 +250,16 @@ def round_trip(pages: DataFrame) -> DataFrame:
     folder = f"{shared_dir(pages.sparkSession)}/packages-{uuid.uuid4().hex}"
     manifest = write_packages(with_revisits(pages), folder)
     kind = pages.schema["page_id"].dataType
-    page = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
+    page = lambda c: F.col(c).cast(kind)
     return read_packages(manifest, folder).select(page("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+#: DuckDB SQL for round_trip() over the table pages: base32 is read off the hexadecimal digest, four letters for five digits.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT page_id, x, strlen(h) AS n, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, 1 + 5 * (i // 4), 5) AS BIGINT) >> (5 * (3 - i % 4))) & 31 AS INT), 1)), '') AS payload_digest FROM p),
+f AS (SELECT x, min(page_id) AS first FROM d GROUP BY x)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d JOIN f USING (x)
+"""

@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 
 
-def posteriors(patterns: list[tuple[list[int], int]], steps: int = 50, against: float = 1.0) -> np.ndarray:
+def posteriors(patterns: list[tuple[list[int], int]], steps: int = 50, against: float = 1.0, silent: bool = True) -> np.ndarray:
     """Of each vote pattern with its count, the chance of the label 1: a naive mixture fitted by expectation-maximisation.
 
     Starts from the majority vote, in which a vote of -1 counts ``against`` times.
-    Reliabilities are smoothed by one vote each.
+    Reliabilities are smoothed by one vote each. ``silent``: an abstention tells
+    something of the class as well; else only votes do.
     """
     v = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], dtype=float)
@@ -18,7 +19,9 @@ def posteriors(patterns: list[tuple[list[int], int]], steps: int = 50, against:
         scores = []
         for own in (p, 1 - p):
             w = n * own
-            share = np.stack([((v == x) * w[:, None]).sum(axis=0) + 1 for x in (-1, 0, 1)]) / (w.sum() + 3)
-            scores.append(np.log((w.sum() + 1) / (n.sum() + 2)) + np.log(share[v + 1, np.arange(v.shape[1])]).sum(axis=1))
+            counts = np.stack([((v == x) * w[:, None]).sum(axis=0) + 1 for x in (-1, 0, 1)])
+            counts[1] *= silent
+            share = np.log(np.where(counts > 0, counts / counts.sum(axis=0), 1.0))
+            scores.append(np.log((w.sum() + 1) / (n.sum() + 2)) + share[v + 1, np.arange(v.shape[1])].sum(axis=1))
         p = 1 / (1 + np.exp(np.clip(scores[1] - scores[0], -50, 50)))
     return p

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from artifactgate.llm import quality, toxicity
@@ -48,3 +49,62 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert len(out) == len(rows)
     assert all(out[k].keep for k in range(300)) and not any(out[1000 + k].keep for k in range(60)) and not any(out[k].keep for k in (2000, 2001, 2002))
     assert quality.report(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_quality_votes_and_features_match_plain_python():
+    import pyarrow as pa
+
+    from artifactgate.llm import textops
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["ha", "Ha", "of", "stone", "##", "a1"]) for _ in range(rng.randrange(0, 90))) for _ in range(50)]
+    ((_, _, data, at),) = textops.slices(pa.array(texts))
+    words = textops.split_words(data, at, textops.SPACED)
+    again = quality.repeated(words)
+    weights = np.random.default_rng(1).standard_normal(quality.WIDTH + 1)
+    logits, n = quality.scores(data, at, weights)
+    dense = np.concatenate(list(quality.vectors(data, at)))
+    assert dense.shape == (50, quality.WIDTH) and np.allclose(dense @ weights[:-1] + weights[-1], logits)
+    for k, text in enumerate(texts):
+        own = text.lower().split()
+        want = [0.0] * (quality.SHARES + 1)
+        for w in own:
+            want[min(int(np.floor(np.log2(len(own) / own.count(w)))), quality.SHARES - 1)] += 1 / len(own)
+        want[-1] = sum(a == b for a, b in zip(own, own[1:])) / max(1, len(own))
+        assert n[k] == len(own) and np.allclose(again[k], want)
+        v = quality.votes(text)
+        assert len(v) == len(quality.LABELLERS)
+        if len(own) >= 5:
+            same = sum(a == b for a, b in zip(own, own[1:])) / (len(own) - 1)
+            assert v[-1] == (-1 if same > 0.25 else 1 if same <= 0.1 else 0)
+
+
+def test_expectation_maximisation_recovers_accuracies():
+    from collections import Counter
+
+    from artifactgate.llm.weak import posteriors
+
+    rng = np.random.default_rng(2)
+    truth = rng.random(20_000) < 0.7
+    votes = np.stack([np.where(rng.random(20_000) < 0.4, 0, np.where(rng.random(20_000) < right, 2 * truth - 1, 1 - 2 * truth)) for right in (0.95, 0.85, 0.8, 0.9)], axis=1)
+    counts = sorted(Counter(map(tuple, votes.tolist())).items())
+    known = dict(zip([p for p, _ in counts], posteriors([(list(p), c) for p, c in counts], silent=False)))
+    spoken = (votes != 0).any(axis=1)
+    guess = np.array([known[tuple(v)] >= 0.5 for v in votes.tolist()])
+    assert (guess == truth)[spoken].mean() > 0.9
+
+
+def test_quality_of_one_repeated_text_and_clashing_names(spark):
+    rows = [(k, "the same words on every page of it", 1) for k in range(200)] + [(None, None, 2)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, _quality int")
+    out = quality.scored(frame)
+    assert out.columns == ["doc_id", "text", "_votes", "_posterior", "_quality"]
+    assert {r._quality for r in out.where("text IS NULL").collect()} == {0.0} and out.select("_quality").where("text IS NOT NULL").distinct().count() == 1
+
+
+def test_toxicity_features_match_plain_python():
+    text = "You IDIOT!! i-d-i-o-t you moron, sooo bad"
+    f = toxicity.features(text, {"bad": 1.5})
+    words = text.lower().replace("!", " ").replace(",", " ").split()
+    assert len(f) == 14 and f[3] == 1.5 and f[6] == 2.0 and f[10] > 0 and f[8] == sum(c.isupper() for c in text) / len(text)
+    assert f[0] > 0 and toxicity.features("", {}) == [0.0] * 14 and len(words) == 7
