@@ -92,20 +92,32 @@ class Block:
         self.body = rows.field("body").to_pylist()
 
 
-def join_groups(a: Block, b: Block, order: Iterator[tuple[int, int]], linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
-    """The links found among the index pairs of ``order``, passing over pairs that earlier links have joined."""
-    root: dict[int, int] = {}
+class Groups:
+    """Groups by their smallest member, as far as they have been joined."""
 
-    def find(x: int) -> int:
-        while x in root:
-            x = root[x]
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        while x in self.root:
+            x = self.root[x]
         return x
 
-    out = []
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were not yet one."""
+        x, y = self.of(x), self.of(y)
+        if x != y:
+            self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def join_groups(a: Block, b: Block, order: Iterator[tuple[int, int]], linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """The links found among the index pairs of ``order``, passing over pairs that earlier links have joined."""
+    group, out = Groups(), []
     for i, j in order:
-        x, y = find(int(a.component[i])), find(int(b.component[j]))
-        if x != y and linked(i, j):
-            root[max(x, y)] = min(x, y)
+        x, y = int(a.component[i]), int(b.component[j])
+        if group.of(x) != group.of(y) and linked(i, j):
+            group.join(x, y)
             out.append((int(a.node[i]), int(b.node[j])))
     return out
 
