@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from artifactgate import rules
+from artifactgate.helpers.bytes import SOURCE
 from artifactgate.sources.shared import written
 
 
@@ -52,41 +53,84 @@ def gadget_findings(facts: DataFrame) -> DataFrame:
     return sums.select("file", F.explode(said).alias("f")).select("file", "f.*")
 
 
-#: Calls by what they do; decoders count for more where the file also evaluates.
-CALLS = [
-    ("os.system", rules.CRITICAL, "os-command"), ("os.popen", rules.CRITICAL, "os-command"), ("subprocess.run", rules.HIGH, "os-command"), ("subprocess.Popen", rules.HIGH, "os-command"), ("eval", rules.CRITICAL, "code-execution"),
-    ("exec", rules.CRITICAL, "code-execution"), ("requests.get", rules.HIGH, "network"), ("requests.post", rules.HIGH, "network"), ("base64.b64decode", rules.LOW, "decoder"), ("getattr", rules.MEDIUM, "dynamic"),
-]
+def call_kind(call: Column) -> Column:
+    """struct<severity, category> of a dotted name: by the whole name, then by its beginning; decoders by themselves; null for any other."""
+    kind = lambda severity, category: F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category"))
+    known = F.create_map(*(x for name, severity, category in rules.PYTHON_CALLS for x in (F.lit(name), kind(severity, category))))
+    out = F.when(call.isin(rules.DECODERS), kind(rules.LOW, "obfuscation"))
+    for prefix, severity, category in reversed(rules.PYTHON_CALL_PREFIXES):
+        out = F.when(F.startswith(call, F.lit(prefix)), kind(severity, category)).otherwise(out)
+    return F.coalesce(F.try_element_at(known, call), out)
 
 
 def call_findings(calls: DataFrame) -> DataFrame:
-    """(file, call, line, severity, category, on_import), distinct by file, call and line."""
-    known = F.broadcast(calls.sparkSession.createDataFrame(CALLS, "call string, severity int, category string"))
+    """(file, call, line, severity, category, on_import), distinct by file, call and line; decoders only where the file also evaluates code."""
+    known = calls.withColumn("kind", call_kind(F.col("call"))).where("kind IS NOT NULL")
     evaluating = calls.where(F.col("call").isin("eval", "exec")).select("file").distinct().withColumn("evaluates", F.lit(True))
-    found = calls.join(known, "call").groupBy("file", "call", "line", "severity", "category").agg(F.bool_or("on_import").alias("on_import")).join(evaluating, "file", "left")
-    raised = F.when((F.col("category") == "decoder") & F.col("evaluates"), rules.HIGH).otherwise(F.col("severity"))
-    return found.select("file", "call", "line", raised.alias("severity"), "category", "on_import")
+    found = known.groupBy("file", "call", "line", "kind").agg(F.bool_or("on_import").alias("on_import")).join(evaluating, "file", "left")
+    decoder = F.col("kind.category") == "obfuscation"
+    return found.where(~decoder | F.col("evaluates")).select("file", "call", "line", F.when(decoder, rules.HIGH).otherwise(F.col("kind.severity")).alias("severity"), F.col("kind.category").alias("category"), "on_import")
 
 
-def tainted(assigns: DataFrame, most: int = 64) -> DataFrame:
-    """(file, scope, name): names reached from a source over (file, scope, dst, src, is_source) assignments.
+def environment_findings(facts: DataFrame) -> DataFrame:
+    """(file, rule_id, severity, line): sources that read the process environment, at the last line that does."""
+    used = facts.where("fact = 'attribute' AND name = 'os.environ'").groupBy("file").agg(F.max("line").alias("line"))
+    return used.select("file", F.lit("PY_ENV_HARVEST").alias("rule_id"), F.lit(rules.MEDIUM).alias("severity"), "line")
 
-    Each round adds names one assignment further; scopes are independent, so the
-    rounds are as many as the longest chain within one.
+
+def _closure(known: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """``known`` with all that its rows reach over ``edges`` (key, src, dst), name by name; the values beside the name go along.
+
+    Each round goes one edge further from what the last one has added; rounds
+    end when there is nothing new, so that chains may be of any length.
     """
-    edges = assigns.select("file", "scope", "src", "dst").distinct()
-    known = assigns.where("is_source").select("file", "scope", F.col("dst").alias("name")).distinct()
-    new = known
-    for _ in range(most):
-        step = new.join(edges.withColumnRenamed("src", "name"), ["file", "scope", "name"]).select("file", "scope", F.col("dst").alias("name")).distinct()
-        new = written(step.join(known, ["file", "scope", "name"], "left_anti"), "new")
+    new = known = written(known, "known")
+    step_of = edges.select(*key, F.col("src").alias("name"), "dst").distinct()
+    values = [c for c in known.columns if c not in (*key, "name")]
+    while True:
+        step = new.join(step_of, [*key, "name"]).select(*key, F.col("dst").alias("name"), *values)
+        step = step.groupBy(*key, "name").agg(*(F.max(v).alias(v) for v in values)) if values else step.distinct()
+        new = written(step.join(known.select(*key, "name"), [*key, "name"], "left_anti"), "new")
         if new.isEmpty():
             return known
-        known = written(known.unionByName(new), "tainted")
-    raise ValueError(f"chains of more than {most} assignments")
+        known = written(known.unionByName(new), "known")
+
+
+def tainted(assigns: DataFrame) -> DataFrame:
+    """(file, scope, name): names reached from a source over (file, scope, dst, src, is_source) assignments, scope by scope."""
+    known = assigns.where("is_source").select("file", "scope", F.col("dst").alias("name")).distinct()
+    return _closure(known, assigns.select("file", "scope", "src", "dst"), ["file", "scope"])
 
 
 def tainted_flows(assigns: DataFrame, calls: DataFrame) -> DataFrame:
     """(file, scope, call, line, arg): sinks that take a tainted name."""
-    sinks = calls.where(F.col("call").isin("os.system", "subprocess.run", "eval", "exec"))
+    sinks = calls.where(call_kind(F.col("call"))["category"].isin(rules.SINKS))
     return sinks.join(tainted(assigns).withColumnRenamed("name", "arg"), ["file", "scope", "arg"], "left_semi").select("file", "scope", "call", "line", "arg").distinct()
+
+
+def flow_findings(facts: DataFrame) -> DataFrame:
+    """(file, rule_id, name, severity, category, line, on_import): decoded data that reaches a sink, and callables under another name.
+
+    facts: (file, fact, scope, name, line, on_import, arg), as ``source_facts``
+    gives them. A name is tainted if its value uses decoded data or a tainted
+    name. A name is a callable if it is bound to a sink, to a callable, or to
+    what getattr finds under a tainted name.
+    """
+    key = ["file", "scope"]
+    assigns = facts.where("fact = 'assign'").select(*key, F.col("name").alias("dst"), F.col("arg").alias("src"), (F.col("arg") == SOURCE).alias("is_source"))
+    taint = tainted(assigns).withColumnRenamed("name", "arg")
+    taint = written(taint.unionByName(facts.select(*key).distinct().withColumn("arg", F.lit(SOURCE))), "taint")
+    kind = call_kind(F.col("arg"))
+    bound = facts.where("fact = 'alias'").select(*key, "name", "arg")
+    direct = bound.where(kind["category"].isin(rules.SINKS)).select(*key, "name", F.when(F.col("arg") == "compile", rules.CRITICAL).otherwise(kind["severity"]).alias("severity"), kind["category"].alias("category"))
+    resolved = facts.where("fact = 'resolve'").join(taint, [*key, "arg"], "left_semi").select(*key, "name", F.lit(rules.CRITICAL).alias("severity"), F.lit("indirection").alias("category"))
+    first = direct.unionByName(resolved).groupBy(*key, "name").agg(F.max(F.struct("severity", "category")).alias("kind"))
+    callables = _closure(first, bound.select(*key, F.col("arg").alias("src"), F.col("name").alias("dst")), key)
+    calls = facts.where("fact = 'call'").select(*key, "name", "line", "on_import", "arg")
+    renamed = calls.join(callables, [*key, "name"]).select("file", F.lit("PY_DYNAMIC_CALL").alias("rule_id"), "name", F.col("kind.severity").alias("severity"), F.col("kind.category").alias("category"), "line", "on_import")
+    invoked = facts.where("fact = 'invoke'").join(taint, [*key, "arg"], "left_semi").select("file", F.lit("PY_DYNAMIC_CALL").alias("rule_id"), "name", F.lit(rules.CRITICAL).alias("severity"), F.lit("indirection").alias("category"), "line", "on_import")
+    own = call_kind(F.col("name"))["category"]
+    flows = calls.where(own.isin(rules.SINKS)).join(taint, [*key, "arg"], "left_semi").join(callables.select(*key, "name"), [*key, "name"], "left_anti")
+    flows = flows.select("file", F.lit("PY_TAINTED_FLOW").alias("rule_id"), "name", F.lit(rules.CRITICAL).alias("severity"), own.alias("category"), "line", "on_import")
+    every = renamed.unionByName(invoked).unionByName(flows)
+    return every.groupBy("file", "rule_id", "name", "line").agg(F.max(F.struct("severity", "category")).alias("k"), F.bool_or("on_import").alias("on_import")).select("file", "rule_id", "name", "k.severity", "k.category", "line", "on_import")

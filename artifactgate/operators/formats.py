@@ -115,24 +115,63 @@ def archive_findings(members: DataFrame) -> DataFrame:
     return out.unionByName(escaping)
 
 
-def marker_findings(artifacts: DataFrame, markers: DataFrame) -> DataFrame:
+def marker_findings(artifacts: DataFrame, markers: DataFrame | None = None) -> DataFrame:
     """(path, rule_id, marker, severity): markers of a format that an artifact of it holds; where ``first_only``, the first by order.
 
     artifacts: (path, format, text), text in latin-1 where bytes. markers: (format, rule_id, marker, severity, first_only, ord).
     """
+    if markers is None:
+        markers = artifacts.sparkSession.createDataFrame(rules.MARKERS, "format string, rule_id string, marker string, severity int, first_only boolean, ord int")
     found = artifacts.join(F.broadcast(markers), "format").where(F.contains("text", "marker"))
     ranked = found.withColumn("k", F.row_number().over(Window.partitionBy("path", "rule_id").orderBy("ord")))
     return ranked.where("NOT first_only OR k = 1").select("path", "rule_id", "marker", "severity")
 
 
-def flex_ops(artifacts: DataFrame, danger: DataFrame) -> DataFrame:
+def python_layers(artifacts: DataFrame) -> DataFrame:
+    """(path, rule_id, severity): text networks that declare a layer in Python."""
+    return artifacts.where(F.col("text").rlike(rules.CAFFE_PYTHON)).select("path", F.lit("CAFFE_PYTHON_LAYER").alias("rule_id"), F.lit(rules.HIGH).alias("severity"))
+
+
+def member_findings(members: DataFrame) -> DataFrame:
+    """(archive, member, rule_id, severity) of (archive, kind, member): Python that a checkpoint or a served archive brings along, and checkpoints without a pickle."""
+    source = F.endswith("member", F.lit(".py"))
+    brought = members.where(source & F.col("kind").isin("pytorch", "mar"))
+    brought = brought.select("archive", "member", F.when(F.col("kind") == "mar", "MAR_HANDLER_CODE").otherwise("PYTORCH_EMBEDDED_SOURCE").alias("rule_id"), F.lit(rules.HIGH).alias("severity")).distinct()
+    bare = members.where("kind = 'pytorch'").groupBy("archive").agg(F.bool_or(F.endswith("member", F.lit(".pkl"))).alias("pickled")).where("NOT pickled")
+    return brought.unionByName(bare.select("archive", F.lit(None).cast("string").alias("member"), F.lit("PYTORCH_NO_PICKLE").alias("rule_id"), F.lit(rules.INFO).alias("severity")))
+
+
+def keras_nodes(objects: DataFrame) -> DataFrame:
+    """(path, rule_id, layer, severity) of (path, at, key, value) JSON facts of any depth: Lambda layers, and layers that come with no framework.
+
+    A node that names its module is custom if the module's first part is none of
+    a framework's; one that does not, if its class is no built-in one.
+    """
+    nodes = objects.where(F.col("key").isin("class_name", "module")).groupBy("path", "at").agg(F.max(F.when(F.col("key") == "class_name", F.col("value"))).alias("layer"), F.max(F.when(F.col("key") == "module", F.col("value"))).alias("module")).where("layer IS NOT NULL")
+    own = F.when(F.col("module").isNotNull(), F.substring_index("module", ".", 1).isin(rules.KERAS_MODULES)).otherwise(F.col("layer").isin(rules.KERAS_LAYERS))
+    rule = F.when(F.col("layer") == "Lambda", F.struct(F.lit("KERAS_LAMBDA_LAYER").alias("rule_id"), F.lit(rules.CRITICAL).alias("severity"))).when(~F.col("layer").isin(rules.KERAS_CONTAINERS) & ~own, F.struct(F.lit("KERAS_CUSTOM_LAYER").alias("rule_id"), F.lit(rules.MEDIUM).alias("severity")))
+    return nodes.select("path", "layer", rule.alias("r")).where("r IS NOT NULL").select("path", "r.rule_id", "layer", "r.severity").distinct()
+
+
+def schema_types(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (path, at, key, value) JSON facts of skops schemas: the distinct (path, module, name) that loading imports, and (path, rule_id, severity, loader) of nodes that fall back on pickles."""
+    own = objects.where(F.col("key").isin("__module__", "__class__", "__loader__"))
+    part = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
+    nodes = own.groupBy("path", "at").agg(part("__module__").alias("module"), F.coalesce(part("__class__"), F.lit("")).alias("name"), part("__loader__").alias("loader"))
+    fallback = nodes.where(F.contains(F.lower("loader"), F.lit("pickle"))).select("path", F.lit("SKOPS_PICKLE_FALLBACK").alias("rule_id"), F.lit(rules.HIGH).alias("severity"), "loader")
+    return nodes.where("module <> ''").select("path", "module", "name").distinct(), fallback
+
+
+def flex_ops(artifacts: DataFrame, danger: DataFrame | None = None) -> DataFrame:
     """(path, op, severity): distinct Flex operators of (path, text), by the severity of their base operator."""
+    danger = artifacts.sparkSession.createDataFrame(rules.FLEX_OPS, "base string, severity int") if danger is None else danger
     ops = artifacts.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("Flex[A-Z][A-Za-z0-9]{1,48}"), F.lit(0)))).alias("op"))
     return ops.withColumn("base", F.substring("op", 5, 60)).join(F.broadcast(danger), "base", "left").select("path", "op", F.coalesce("severity", F.lit(rules.LOW)).alias("severity"))
 
 
-def layer_findings(artifacts: DataFrame, builtins: DataFrame, cap: int = 200) -> DataFrame:
+def layer_findings(artifacts: DataFrame, builtins: DataFrame | None = None, cap: int = 200) -> DataFrame:
     """(path, layer, rule_id, severity): Lambda layers, and distinct layers that no built-in is called, from class_name entries."""
+    builtins = artifacts.sparkSession.createDataFrame([(x,) for x in rules.KERAS_LAYERS + rules.KERAS_CONTAINERS], "layer string") if builtins is None else builtins
     names = artifacts.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(r'"class_name":\s*"([A-Za-z0-9_.]{1,80})"'), F.lit(1))).alias("pos", "layer"))
     firsts = names.groupBy("path", "layer").agg(F.min("pos").alias("pos"))
     lambdas = firsts.where("layer = 'Lambda'").select("path", "layer", F.lit("KERAS_LAMBDA_LAYER").alias("rule_id"), F.lit(rules.CRITICAL).alias("severity"))
@@ -142,17 +181,21 @@ def layer_findings(artifacts: DataFrame, builtins: DataFrame, cap: int = 200) ->
 
 
 def template_findings(artifacts: DataFrame) -> DataFrame:
-    """(path, rule_id): chat templates that reach for attributes or modules, where the text has a template."""
-    patterns = [("dunder", r"__(?:class|globals|subclasses|builtins|import|init|mro)__"), ("module", r"\b(?:os|sys|subprocess)\s*\.\s*\w+"), ("call", r"\b(?:eval|exec|open|popen)\s*\(")]
-    hit = F.explode(F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(f"GGUF_TEMPLATE_{label.upper()}")) for label, p in patterns))))
-    return artifacts.where(F.contains("text", F.lit("tokenizer.chat_template"))).select("path", hit.alias("rule_id"))
+    """(path, rule_id, severity, match): chat templates that reach for the object graph, the system or code, where the text has a template."""
+    found = [F.regexp_extract("text", pattern, 0) for pattern, _ in rules.TEMPLATE_PATTERNS]
+    hit = [F.when(m != "", F.struct(F.lit("GGUF_TEMPLATE_INJECTION").alias("rule_id"), F.lit(severity).alias("severity"), F.substring(m, 1, 160).alias("match"))) for m, (_, severity) in zip(found, rules.TEMPLATE_PATTERNS)]
+    return artifacts.where(F.contains("text", F.lit("tokenizer.chat_template"))).select("path", F.explode(F.array_compact(F.array(*hit))).alias("f")).select("path", "f.*")
 
 
 def external_locations(artifacts: DataFrame, cap: int = 10) -> DataFrame:
-    """(path, location): distinct escaping locations of external data: the key, a tag byte, a length byte, and so many characters."""
-    raw = artifacts.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(r"location\x12[\x00-\xff][\x20-\x7e]{1,127}"), F.lit(0))).alias("pos", "m"))
-    # The 10th character is the length.
-    cut = raw.select("path", "pos", F.expr("substring(m, 11, ascii(substring(m, 10, 1)))").alias("location")).where(fn.path_escapes(F.col("location")))
+    """(path, location): distinct escaping locations of external data: the key, a tag byte, a length byte, and so many characters.
+
+    A value is read by its length from where it stands, whatever else it holds, another key included.
+    """
+    key = F.lit(r"location\x12([\x01-\x7f])(?=([\s\S]{0,127}))")
+    both = F.zip_with(F.regexp_extract_all("text", key, F.lit(1)), F.regexp_extract_all("text", key, F.lit(2)), lambda n, rest: F.struct(n.alias("n"), rest.alias("rest")))
+    raw = artifacts.select("path", F.posexplode(both).alias("pos", "m"))
+    cut = raw.select("path", "pos", F.expr("substring(m.rest, 1, ascii(m.n))").alias("location")).where(fn.path_escapes(F.col("location")))
     firsts = cut.groupBy("path", "location").agg(F.min("pos").alias("pos"))
     return firsts.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("pos"))).where(F.col("k") <= cap).select("path", "location")
 
@@ -214,7 +257,43 @@ def xml_findings(artifacts: DataFrame, cap: int = 100) -> DataFrame:
 
 
 def extension_scripts(artifacts: DataFrame) -> DataFrame:
-    """(path, rule_id): PMML with entities, or an extension whose next 2000 characters speak of code; one finding of each."""
-    window = F.regexp_extract_all("text", F.lit(r"(?is)<Extension\b[^>]*>.{0,2000}"), F.lit(0))
-    script = F.exists(window, lambda w: w.rlike("(?i)script|python|exec|eval|code"))
-    return artifacts.select("path", F.explode(F.array_compact(F.array(F.when(F.col("text").rlike("<!ENTITY"), F.lit("PMML_ENTITY")), F.when(script, F.lit("PMML_EXTENSION"))))).alias("rule_id"))
+    """(path, rule_id, severity): PMML with entities, or with an extension that speaks of code in the 2000 characters from its start; one finding of each.
+
+    Windows may overlap: each extension is looked at from where it stands.
+    """
+    windows = F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{1,2000}))<Extension\b[^>]*>"), F.lit(1))
+    script = F.exists(windows, lambda w: w.rlike("(?i)script|python|exec|eval|code"))
+    said = lambda test, rule, severity: F.when(test, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity")))
+    rows = F.array_compact(F.array(said(F.col("text").rlike("<!ENTITY"), "PMML_XXE", rules.HIGH), said(script, "PMML_EXTENSION_SCRIPT", rules.MEDIUM)))
+    return artifacts.select("path", F.explode(rows).alias("f")).select("path", "f.*")
+
+
+def loader_modules(descriptors: DataFrame) -> DataFrame:
+    """(path, rule_id, severity, loader_module, code) of (path, text) model descriptors whose python_function flavour names what it imports.
+
+    The block form of YAML that such descriptors are written in is read by its
+    indentation: the entries below ``python_function:`` under ``flavors:``.
+    """
+    block = F.regexp_extract("text", r"(?m)^flavors:[ \t]*\r?\n(?:[ \t]+.*\r?\n|[ \t]*\r?\n)*?([ \t]+)python_function:[ \t]*\r?\n((?:\1[ \t]+.*(?:\r?\n|$)|[ \t]*\r?\n)*)", 2)
+    value = lambda key: F.regexp_replace(F.regexp_extract("block", rf"(?m)^[ \t]+{key}:[ \t]*(.*?)[ \t\r]*$", 1), "^['\"]|['\"]$", "")
+    rows = descriptors.select("path", block.alias("block")).where("block <> ''")
+    return rows.select("path", F.lit("MLFLOW_PYFUNC_LOADER").alias("rule_id"), F.lit(rules.MEDIUM).alias("severity"), value("loader_module").alias("loader_module"), value("code").alias("code"))
+
+
+def numpy_heads(arrays: DataFrame) -> DataFrame:
+    """``arrays`` with a NumPy head, with ``header_len`` and ``header``: the length stands in bytes 9 and 10, little-endian, and the text behind them."""
+    head = arrays.where(_starts(F.col("content"), "934E554D5059")).withColumn("header_len", fn.little_endian(F.col("content"), 9, 2).cast("int"))
+    return head.withColumn("header", F.decode(F.expr("substring(content, 11, header_len)"), "ISO-8859-1"))
+
+
+def numpy_findings(arrays: DataFrame) -> DataFrame:
+    """(path, rule_id, severity) of (path, content) .npy bytes: headers that are cut off, and arrays of objects, which hold a pickle."""
+    rule = F.when(F.col("header_len").isNull(), "NUMPY_MALFORMED").when(F.col("header").rlike(r"'descr':\s*'?\|?O"), "NUMPY_OBJECT_ARRAY")
+    found = numpy_heads(arrays).select("path", rule.alias("rule_id")).where("rule_id IS NOT NULL")
+    return found.withColumn("severity", F.when(F.col("rule_id") == "NUMPY_OBJECT_ARRAY", rules.HIGH).otherwise(rules.MEDIUM))
+
+
+def numpy_payloads(arrays: DataFrame) -> DataFrame:
+    """(target_id, path, content): the pickles of arrays of objects."""
+    held = numpy_heads(arrays).where(F.col("header").rlike(r"'descr':\s*'?\|?O"))
+    return held.select("target_id", "path", F.expr("substring(content, 11 + header_len)").alias("content"))

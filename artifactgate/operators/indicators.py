@@ -18,8 +18,10 @@ CAP = 500
 
 
 def runs_of(artifacts: DataFrame, least: int = 8) -> DataFrame:
-    """(target_id, path, run_no, run) of (target_id, path, text)."""
-    return artifacts.select("target_id", "path", F.posexplode(fn.printable_runs(F.col("text"), least)).alias("run_no", "run"))
+    """(target_id, path, run_no, run) of (target_id, path, text): printable runs, and behind them those in UTF-16 where there are zero bytes."""
+    text = F.col("text")
+    wide = F.when(F.contains(text, F.char(F.lit(0))), fn.wide_runs(text, least)).otherwise(F.array().cast("array<string>"))
+    return artifacts.select("target_id", "path", F.posexplode(F.concat(fn.printable_runs(text, least), wide)).alias("run_no", "run"))
 
 
 def _hits(run: Column, rule_no: int, rule_id: str, label: str, pattern: str, severity: int, needle: str, key_chars: int, labelled: bool = False, test=None, gate: Column | None = None) -> Column:
@@ -35,7 +37,11 @@ def _hits(run: Column, rule_no: int, rule_id: str, label: str, pattern: str, sev
 
 
 def matches(runs: DataFrame, hosts: list[str] | None = None) -> DataFrame:
-    """One row for each match of each rule in (target_id, path, run_no, run)."""
+    """One row for each match of each rule in (target_id, path, run_no, run).
+
+    Most runs hold nothing that any rule could match: one look at each sorts them out.
+    """
+    runs = runs.where(F.col("run").rlike(rules.PIECES))
     run, n = F.col("run"), iter(range(100))
     every = [_hits(run, next(n), "EXFIL_WEBHOOK", label, p, rules.CRITICAL, needle, 120) for label, p, needle in rules.WEBHOOKS]
     every.append(_hits(run, next(n), "EXFIL_URL", "url", rules.URL, rules.MEDIUM, "://", 120, test=lambda m: ~fn.is_benign_url(m, hosts)))

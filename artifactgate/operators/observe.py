@@ -90,11 +90,21 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return findings.groupBy("target_id", "rule_id").agg(F.substring(F.min_by("title", "doc_id"), 1, 120).alias("name"))
 
 
-def sarif_documents(findings: DataFrame) -> DataFrame:
-    """(target_id, body): a SARIF document a target."""
-    rows = sarif_results(findings).groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("rule_id", "level", "uri", "message"))).alias("results"))
-    named = sarif_rules(findings).groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("rule_id", "name"))).alias("rules"))
-    return rows.join(named, "target_id").select("target_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct("rules", "results")).alias("runs"))).alias("body"))
+def in_parts(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """``rows`` with ``part``: each target's rows dealt by the hash of a column over as many parts as hold about ``most`` rows."""
+    sizes = rows.groupBy("target_id").agg(F.ceil(F.count("*") / most).cast("bigint").alias("parts"))
+    place = F.conv(F.substring(F.sha2(by, 256), 1, 8), 16, 10).cast("bigint")
+    return rows.join(sizes, "target_id").withColumn("part", F.pmod(place, F.col("parts"))).drop("parts")
+
+
+def sarif_documents(findings: DataFrame, most: int = 1000) -> DataFrame:
+    """(target_id, part, body): SARIF documents of about ``most`` results, as many as a target needs; a document names the rules of its own results."""
+    rows = in_parts(sarif_results(findings), "uri", most)
+    results = rows.groupBy("target_id", "part").agg(F.array_sort(F.collect_list(F.struct("rule_id", "level", "uri", "message"))).alias("results"))
+    named = rows.select("target_id", "part", "rule_id").distinct().join(sarif_rules(findings), ["target_id", "rule_id"])
+    named = named.groupBy("target_id", "part").agg(F.array_sort(F.collect_list(F.struct("rule_id", "name"))).alias("rules"))
+    body = F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct("rules", "results")).alias("runs")))
+    return results.join(named, ["target_id", "part"]).select("target_id", "part", body.alias("body"))
 
 
 def audit_records(targets: DataFrame, findings: DataFrame) -> DataFrame:
@@ -104,11 +114,12 @@ def audit_records(targets: DataFrame, findings: DataFrame) -> DataFrame:
     return each.withColumn("body", F.to_json(F.struct("target_id", "max_severity", "n_findings", "rule_ids")))
 
 
-def nested_reports(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """(target_id, body): a target's files, each with its findings, as JSON."""
+def nested_reports(files: DataFrame, findings: DataFrame, most: int = 1000) -> DataFrame:
+    """(target_id, part, body): a target's files, each with its findings, as JSON documents of about ``most`` files."""
     own = findings.groupBy("target_id", "path").agg(F.array_sort(F.collect_list(F.struct("rule_id", "severity"))).alias("findings"))
-    each = files.join(own, ["target_id", "path"], "left").select("target_id", F.struct("path", "format", "size", "sha256", F.coalesce("findings", F.array().cast("array<struct<rule_id:string,severity:int>>")).alias("findings")).alias("f"))
-    return each.groupBy("target_id").agg(F.array_sort(F.collect_list("f")).alias("files")).select("target_id", F.to_json(F.struct("target_id", "files")).alias("body"))
+    each = in_parts(files, "path", most).join(own, ["target_id", "path"], "left")
+    file = F.struct("path", "format", "size", "sha256", F.coalesce("findings", F.array().cast("array<struct<rule_id:string,severity:int>>")).alias("findings"))
+    return each.groupBy("target_id", "part").agg(F.array_sort(F.collect_list(file)).alias("files")).select("target_id", "part", F.to_json(F.struct("target_id", "part", "files")).alias("body"))
 
 
 # --- detection quality ----------------------------------------------------------
@@ -119,16 +130,23 @@ def detected(verdict: Column, severity: Column) -> Column:
 
 
 def detection_metrics(results: DataFrame) -> DataFrame:
-    """One row: rates, counts of warned benign ones, missed and wrongly flagged ids, and exact percentiles of the time."""
+    """One row: rates, counts of warned benign, missed and wrongly flagged ones, and percentiles of the time."""
     bad, good = F.col("label") == "malicious", F.col("label") == "benign"
     hit, flagged = detected(F.col("verdict"), F.col("max_severity")), F.col("verdict").isin("FAIL", "BLOCKED")
     p = F.percentile("seconds", F.array(F.lit(0.5), F.lit(0.95)))
     return results.agg(
         F.round(F.avg(F.when(bad, hit.cast("double"))), 9).alias("tpr"), F.round(F.avg(F.when(good, flagged.cast("double"))), 9).alias("fpr"), F.count_if(good & (F.col("verdict") == "WARN")).alias("benign_warned"),
-        F.array_join(F.array_sort(F.collect_list(F.when(bad & ~hit, F.col("id")))), ",").alias("missed"), F.array_join(F.array_sort(F.collect_list(F.when(good & flagged, F.col("id")))), ",").alias("false_positives"), F.round(p[0], 6).alias("p50"), F.round(p[1], 6).alias("p95"),
+        F.count_if(bad & ~hit).alias("missed"), F.count_if(good & flagged).alias("false_positives"), F.round(p[0], 6).alias("p50"), F.round(p[1], 6).alias("p95"),
     )
 
 
+def detection_errors(results: DataFrame) -> DataFrame:
+    """(id, error): what was missed and what was wrongly flagged, a row each."""
+    hit, flagged = detected(F.col("verdict"), F.col("max_severity")), F.col("verdict").isin("FAIL", "BLOCKED")
+    error = F.when((F.col("label") == "malicious") & ~hit, "missed").when((F.col("label") == "benign") & flagged, "false_positive")
+    return results.select("id", error.alias("error")).where("error IS NOT NULL")
+
+
 def by_attack_class(results: DataFrame) -> DataFrame:
     bad = results.where("label = 'malicious'")
     return bad.groupBy("attack_class").agg(F.count("*").alias("n"), F.count_if(detected(F.col("verdict"), F.col("max_severity"))).alias("detected"), F.array_join(F.slice(F.array_sort(F.collect_set("rule_id")), 1, 3), ",").alias("rules"))

@@ -21,12 +21,17 @@ def known_origins(bundled: DataFrame, user: DataFrame) -> DataFrame:
 
 
 def provenance(targets: DataFrame, origins: DataFrame) -> DataFrame:
-    """Adds publisher, origin, source and verified: a verified signature first, then a claim, a sidecar, the database."""
+    """Adds publisher, origin, source and verified.
+
+    A verified signature is authoritative: publisher and origin are those of the
+    trust store's key (signed_publisher, signed_origin), known or not, whatever
+    the target says of itself. Otherwise a claim counts, then a sidecar, then the database.
+    """
     signed = F.col("signature_status") == "verified"
-    publisher = F.lower(F.coalesce(F.col("sidecar_publisher"), F.substring_index("repo_id", "/", 1)))
-    named = targets.withColumn("publisher", F.when(signed | F.col("claimed_origin").isNotNull(), F.lower(F.substring_index("repo_id", "/", 1))).otherwise(publisher))
-    found = named.join(origins.withColumnRenamed("country", "db_origin"), "publisher", "left")
-    steps = [(signed & F.col("db_origin").isNotNull(), F.col("db_origin"), "signature"), (F.col("claimed_origin").isNotNull(), F.upper("claimed_origin"), "explicit"), (F.col("sidecar_origin").isNotNull(), F.upper("sidecar_origin"), "sidecar"), (F.col("db_origin").isNotNull(), F.col("db_origin"), "database")]
+    owner = F.substring_index("repo_id", "/", 1)
+    publisher = F.when(signed, F.col("signed_publisher")).when(F.col("claimed_origin").isNotNull(), owner).otherwise(F.coalesce(F.col("sidecar_publisher"), owner))
+    found = targets.withColumn("publisher", F.lower(publisher)).join(origins.withColumnRenamed("country", "db_origin"), "publisher", "left")
+    steps = [(signed, F.upper("signed_origin"), "signed"), (F.col("claimed_origin").isNotNull(), F.upper("claimed_origin"), "explicit"), (F.col("sidecar_origin").isNotNull(), F.upper("sidecar_origin"), "sidecar"), (F.col("db_origin").isNotNull(), F.col("db_origin"), "database")]
     origin, source = F.lit(None).cast("string"), F.lit("unknown")
     for test, value, label in reversed(steps):
         origin, source = F.when(test, value).otherwise(origin), F.when(test, F.lit(label)).otherwise(source)

@@ -12,15 +12,22 @@ from artifactgate import rules
 _VERDICT = "struct<scansDone:boolean,filesWithIssues:array<struct<path:string,level:string>>>"
 
 
+#: Levels of an issue that make it unsafe; any other is suspicious.
+UNSAFE_LEVELS = ["unsafe", "malicious", "dangerous", "blocked"]
+
+
 def upstream_findings(verdicts: DataFrame, cap: int = 50) -> DataFrame:
-    """(repo_id, rule_id, severity, path) of (repo_id, body): issues by level, at most ``cap`` a repo, then one row for the rest; gaps where scans are not done."""
+    """(repo_id, rule_id, severity, path) of (repo_id, body): issues by level, at most ``cap`` a repo, then one row for the rest.
+
+    A body that can't be read, or that says that scans are not done, leaves a gap row; one that does not say so does not.
+    """
     v = verdicts.select("repo_id", F.from_json("body", _VERDICT).alias("v"))
     issues = v.select("repo_id", F.posexplode("v.filesWithIssues").alias("pos", "i")).select("repo_id", "pos", "i.*")
-    bad = F.lower("level").isin("unsafe", "error", "danger")
+    bad = F.coalesce(F.lower(F.trim("level")), F.lit("")).isin(UNSAFE_LEVELS)
     found = issues.withColumn("k", F.row_number().over(Window.partitionBy("repo_id").orderBy("pos")))
     shown = found.where(F.col("k") <= cap).select("repo_id", F.when(bad, "HF_UPSTREAM_UNSAFE").otherwise("HF_UPSTREAM_SUSPICIOUS").alias("rule_id"), F.when(bad, rules.HIGH).otherwise(rules.MEDIUM).alias("severity"), "path")
-    rest = issues.groupBy("repo_id").count().where(F.col("count") > cap).select("repo_id", F.lit("HF_UPSTREAM_OVERFLOW").alias("rule_id"), F.lit(rules.MEDIUM).alias("severity"), F.concat(F.lit("+"), (F.col("count") - cap).cast("string")).alias("path"))
-    gaps = v.where("v.scansDone IS NULL OR NOT v.scansDone").select("repo_id", F.lit("HF_UPSTREAM_GAP").alias("rule_id"), F.lit(rules.LOW).alias("severity"), F.lit(None).cast("string").alias("path"))
+    rest = issues.groupBy("repo_id").count().where(F.col("count") > cap).select("repo_id", F.lit("HF_UPSTREAM_UNSAFE").alias("rule_id"), F.lit(rules.HIGH).alias("severity"), F.concat(F.lit("+"), (F.col("count") - cap).cast("string")).alias("path"))
+    gaps = v.where("v IS NULL OR NOT v.scansDone").select("repo_id", F.lit("SIGNAL_UNAVAILABLE").alias("rule_id"), F.lit(rules.LOW).alias("severity"), F.lit(None).cast("string").alias("path"))
     return shown.unionByName(rest).unionByName(gaps)
 
 

@@ -27,35 +27,40 @@ def approval_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approve.approval_intervals(frame(spark, sf_dir, "scans"))
 
 
-_ASOF = f"WITH {_ACT} SELECT r.uid, r.digest_a AS digest, coalesce(a.approved, false) AS approved FROM requests r ASOF LEFT JOIN (SELECT digest, ts, arg_max(approved, scan_id) AS approved FROM act GROUP BY digest, ts) a ON a.digest = r.digest_a AND r.ts >= a.ts"
+_ASOF = f"WITH {_ACT} SELECT r.uid, r.digest_a AS digest, coalesce(a.approved, false) AS approved FROM (SELECT * FROM requests WHERE digest_a IS NOT NULL) r ASOF LEFT JOIN (SELECT digest, ts, arg_max(approved, scan_id) AS approved FROM act GROUP BY digest, ts) a ON a.digest = r.digest_a AND r.ts >= a.ts"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "requests").where("digest_a IS NOT NULL").select("uid", "ts", F.col("digest_a").alias("digest"))
 
 
 @query(_ASOF)
 def approval_as_of_request(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = frame(spark, sf_dir, "requests").select("uid", "ts", F.col("digest_a").alias("digest"))
-    return approve.state_at(asked, approve.approval_intervals(frame(spark, sf_dir, "scans"))).select("uid", "digest", "approved")
+    return approve.state_at(_asked(spark, sf_dir), approve.approval_intervals(frame(spark, sf_dir, "scans"))).select("uid", "digest", "approved")
 
 
 @query(_ASOF)
 def approval_by_last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = frame(spark, sf_dir, "requests").select("uid", "ts", F.col("digest_a").alias("digest"))
-    return approve.last_state_at(asked, frame(spark, sf_dir, "scans")).select("uid", "digest", "approved")
+    return approve.last_state_at(_asked(spark, sf_dir), frame(spark, sf_dir, "scans")).select("uid", "digest", "approved")
 
 
-@query(f"""WITH {_SPANS}, asked AS (SELECT uid, ts, digest_a AS digest FROM requests UNION SELECT uid, ts, digest_b FROM requests WHERE digest_b IS NOT NULL),
+@query(f"""WITH {_SPANS}, asked AS (SELECT uid, ts, lower(digest_a) AS digest FROM requests WHERE digest_a IS NOT NULL UNION SELECT uid, ts, lower(digest_b) FROM requests WHERE digest_b IS NOT NULL),
 miss AS (SELECT uid, array_to_string(list_sort(list_distinct(list(left(digest, 12)))), ',') AS missing FROM asked a WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.digest = a.digest AND s.approved AND a.ts >= s.from_ts AND (s.to_ts IS NULL OR a.ts < s.to_ts)) GROUP BY uid),
-said AS (SELECT r.uid, CASE WHEN opted_in THEN array_to_string(list_filter([CASE WHEN NOT contains(image, '@sha256:') THEN 'an image is not pinned by digest' END, CASE WHEN verdict IN ('FAIL', 'BLOCKED') THEN 'the scan verdict is ' || verdict END, CASE WHEN missing IS NOT NULL THEN 'not approved: ' || missing END], lambda x: x IS NOT NULL), '; ') ELSE '' END AS reasons
-         FROM requests r LEFT JOIN miss m ON m.uid = r.uid)
-SELECT uid, reasons = '' AS allowed, reasons FROM said""")
+known AS (SELECT count(*) > 0 AS listed FROM spans WHERE approved),
+said AS (SELECT r.uid, CASE WHEN opted_in THEN array_to_string(list_filter([CASE WHEN NOT contains(image, '@sha256:') THEN 'an image is not pinned by digest' END, CASE WHEN upper(verdict) IN ('FAIL', 'BLOCKED') THEN 'the scan verdict is ' || upper(verdict) END,
+           CASE WHEN NOT listed AND r.uid IN (SELECT uid FROM asked) THEN 'models are declared but no approved digests are known' END, CASE WHEN listed AND missing IS NOT NULL THEN 'not approved: ' || missing END], lambda x: x IS NOT NULL), '; ') ELSE '' END AS reasons,
+           CASE WHEN opted_in AND image IS NULL AND r.uid NOT IN (SELECT uid FROM asked) THEN 'no containers found' ELSE '' END AS warnings
+         FROM requests r CROSS JOIN known LEFT JOIN miss m ON m.uid = r.uid)
+SELECT uid, reasons = '' AS allowed, reasons, warnings FROM said""")
 def admission_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pods, and controllers with a template of one, with digests in either case."""
     rows = frame(spark, sf_dir, "requests")
-    body = F.struct(
-        F.create_map(F.lit("gate"), F.when(F.col("opted_in"), "enabled").otherwise("off")).alias("labels"),
-        F.create_map(F.lit("verdict"), F.col("verdict"), F.lit("models"), F.concat_ws(",", F.concat(F.lit("sha256:"), "digest_a"), "digest_b")).alias("annotations"),
-        F.array(F.struct("image")).alias("containers"),
+    metadata = F.struct(F.create_map(F.lit("gate"), F.when(F.col("opted_in"), "True").otherwise("off")).alias("labels"), F.create_map(F.lit("verdict"), F.col("verdict"), F.lit("models"), F.concat_ws(" , ", F.concat(F.lit("sha256:"), "digest_a"), "digest_b")).alias("annotations"))
+    spec = F.struct(F.array(F.struct("image")).alias("containers"))
+    body = F.when(F.col("pod"), F.to_json(F.struct(F.lit("Pod").alias("kind"), metadata.alias("metadata"), spec.alias("spec")))).otherwise(
+        F.to_json(F.struct(F.lit("Deployment").alias("kind"), F.struct(F.struct(metadata.alias("metadata"), spec.alias("spec")).alias("template")).alias("spec")))
     )
-    requests = approve.parsed(rows.select("uid", "ts", F.to_json(body).alias("object")))
-    return approve.decided(requests, approve.approval_intervals(frame(spark, sf_dir, "scans")))
+    return approve.decided(approve.parsed(rows.select("uid", "ts", body.alias("object"))), approve.approval_intervals(frame(spark, sf_dir, "scans")))
 
 
 @query("SELECT event_id AS id, CASE WHEN user_id % 3 = 0 THEN 'k:' || left(sha256(CAST(user_id AS VARCHAR)), 16) ELSE 'ip:10.0.0.' || CAST(user_id % 9 AS VARCHAR) END AS client FROM events")
@@ -66,10 +71,11 @@ def client_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("id"), client_id(F.when(F.col("user_id") % 3 == 0, F.col("user_id").cast("string")), F.concat(F.lit("10.0.0."), (F.col("user_id") % 9).cast("string"))).alias("client"))
 
 
-@query("SELECT uid, image AS repo FROM requests WHERE image = 'registry/app:latest' OR starts_with(image, 'registry/') AND false")
+@query("SELECT uid, repo FROM (SELECT uid, concat('org', CAST(event_id % 13 AS VARCHAR), CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/model' ELSE '-other/model' END) AS repo FROM requests) WHERE repo IN ('org1', 'org7/model') OR starts_with(repo, 'org1/') OR starts_with(repo, 'org7/model/')")
 def allowed_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefixes = spark.createDataFrame([("registry/app:latest",), ("regist",)], "prefix string")
-    return approve.allowed_repos(frame(spark, sf_dir, "requests").select("uid", F.col("image").alias("repo")), prefixes)
+    prefixes = spark.createDataFrame([("org1",), ("org7/model",)], "prefix string")
+    rows = frame(spark, sf_dir, "requests").selectExpr("uid", "concat('org', CAST(event_id % 13 AS STRING), CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/model' ELSE '-other/model' END) AS repo")
+    return approve.allowed_repos(rows, prefixes)
 
 
 @query("SELECT DISTINCT sha256 AS digest FROM files WHERE doc_id % 4 <> 3")
@@ -87,15 +93,22 @@ def digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- signals --------------------------------------------------------------------
 
 
-@query("""WITH i AS (SELECT source AS repo_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0 AND source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7'))
-SELECT repo_id, CASE WHEN doc_id % 4 = 0 THEN 'HF_UPSTREAM_UNSAFE' ELSE 'HF_UPSTREAM_SUSPICIOUS' END AS rule_id, CASE WHEN doc_id % 4 = 0 THEN 3 ELSE 2 END AS severity, 'f' || CAST(doc_id AS VARCHAR) AS path FROM i WHERE k <= 10
-UNION ALL SELECT repo_id, 'HF_UPSTREAM_OVERFLOW', 2, '+' || CAST(count(*) - 10 AS VARCHAR) FROM i GROUP BY repo_id HAVING count(*) > 10
-UNION ALL SELECT DISTINCT repo_id, 'HF_UPSTREAM_GAP', 1, NULL FROM i WHERE repo_id IN ('src1', 'src3', 'src5', 'src7')""")
+_REPO = "concat(source, '/', CAST(doc_id - doc_id % 300 AS STRING))"
+
+
+@query(f"""WITH i AS (SELECT {_REPO} AS repo_id, doc_id, row_number() OVER (PARTITION BY {_REPO} ORDER BY doc_id) AS k, [' Malicious', 'suspicious', 'unsafe', 'DANGEROUS', 'error', 'blocked', NULL][1 + doc_id % 7] AS level FROM documents),
+l AS (SELECT *, coalesce(lower(trim(level)), '') IN ('unsafe', 'malicious', 'dangerous', 'blocked') AS bad FROM i)
+SELECT repo_id, CASE WHEN bad THEN 'HF_UPSTREAM_UNSAFE' ELSE 'HF_UPSTREAM_SUSPICIOUS' END AS rule_id, CASE WHEN bad THEN 3 ELSE 2 END AS severity, 'f' || CAST(doc_id AS VARCHAR) AS path FROM l WHERE k <= 10
+UNION ALL SELECT repo_id, 'HF_UPSTREAM_UNSAFE', 3, '+' || CAST(count(*) - 10 AS VARCHAR) FROM i GROUP BY repo_id HAVING count(*) > 10
+UNION ALL SELECT repo_id, 'SIGNAL_UNAVAILABLE', 1, NULL FROM i GROUP BY repo_id HAVING min(doc_id) % 3 = 1""")
 def upstream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 2 = 0 AND source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7')")
-    issue = F.struct("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.when(F.col("doc_id") % 4 == 0, "unsafe").otherwise("suspicious").alias("level"))
-    bodies = docs.groupBy(F.col("source").alias("repo_id")).agg(F.array_sort(F.collect_list(issue)).alias("filesWithIssues"))
-    done = ~F.col("repo_id").isin("src1", "src3", "src5", "src7")
+    """Verdict bodies of repositories of at most 300 files each, over all documents."""
+    level = F.element_at(F.array(*map(F.lit, [" Malicious", "suspicious", "unsafe", "DANGEROUS", "error", "blocked", None])), (F.col("doc_id") % 7 + 1).cast("int"))
+    issue = F.struct("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), level.alias("level"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    bodies = docs.groupBy(F.expr(_REPO).alias("repo_id")).agg(F.array_sort(F.collect_list(issue)).alias("filesWithIssues"), F.min("doc_id").alias("least"))
+    # scansDone is absent, false or true; only false is a gap.
+    done = F.when(F.col("least") % 3 == 1, False).when(F.col("least") % 3 == 2, True)
     return signals.upstream_findings(bodies.select("repo_id", F.to_json(F.struct(done.alias("scansDone"), "filesWithIssues")).alias("body")), cap=10)
 
 
@@ -151,9 +164,14 @@ def sliding_block_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.block_ratio(frame(spark, sf_dir, "scans"))
 
 
-@query("SELECT alert, time_bucket(INTERVAL 5 MINUTES, ts) AS from_ts, count(*) AS n FROM (SELECT ts, 'errors' AS alert FROM scans WHERE errors > 0 UNION ALL SELECT ts, 'blocks' FROM scans WHERE verdict = 'BLOCKED') GROUP BY ALL HAVING count(*) > CASE alert WHEN 'errors' THEN 0 ELSE 3 END")
+FIXTURES["outcomes"] = lambda d: """SELECT ts, errors, CASE WHEN scan_id % 6 = 5 THEN 'REJECTED' ELSE verdict END AS verdict, CASE WHEN scan_id % 6 <> 5 THEN status WHEN scan_id % 4 = 1 THEN 'capacity' WHEN scan_id % 8 = 3 THEN 'rate' ELSE 'auth' END AS status FROM scans"""
+
+
+@query("""WITH s AS (SELECT ts, 'errors' AS alert, 5 AS m, 0 AS over FROM outcomes WHERE errors > 0 UNION ALL SELECT ts, 'blocks', 15, 3 FROM outcomes WHERE verdict = 'BLOCKED'
+  UNION ALL SELECT ts, 'capacity_rejects', 10, 0 FROM outcomes WHERE verdict = 'REJECTED' AND status IN ('capacity', 'rate') UNION ALL SELECT ts, 'auth_rejects', 5, 10 FROM outcomes WHERE verdict = 'REJECTED' AND status = 'auth')
+SELECT alert, time_bucket(to_minutes(CAST(m AS BIGINT)), ts) AS from_ts, count(*) AS n FROM s GROUP BY alert, m, over, from_ts HAVING count(*) > over""")
 def scan_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates.alerts(frame(spark, sf_dir, "scans"))
+    return rates.alerts(frame(spark, sf_dir, "outcomes"))
 
 
 @query("WITH h AS (SELECT DISTINCT time_bucket(INTERVAL 10 MINUTES, ts) AS w FROM scans) SELECT unnest(generate_series((SELECT min(w) FROM h), (SELECT max(w) FROM h), INTERVAL 10 MINUTES)) AS from_ts EXCEPT SELECT w FROM h")
@@ -176,6 +194,9 @@ def admitted_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIXTURES["calls_of_clients"] = lambda d: f"SELECT CAST(user_id AS STRING) AS client, ts, event_id FROM {d.table('events')}"
 
 
-@query()
+@query("""WITH o AS (SELECT client, ts, epoch(ts) AS t, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS n FROM calls_of_clients),
+r AS (SELECT client, ts, n, t, 1.0::DOUBLE AS left_over, true AS ok FROM o WHERE n = 1
+  UNION ALL SELECT o.client, o.ts, o.n, o.t, least(2.0, r.left_over + (o.t - r.t) / 30) - CASE WHEN least(2.0, r.left_over + (o.t - r.t) / 30) >= 1 THEN 1 ELSE 0 END, least(2.0, r.left_over + (o.t - r.t) / 30) >= 1 FROM r JOIN o ON o.client = r.client AND o.n = r.n + 1)
+SELECT client, ts, ok AS allowed, CASE WHEN ok THEN 0.0 ELSE round((1 - left_over) * 30, 3) END AS retry_after FROM r""", recursive=True)
 def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return buckets.limited(frame(spark, sf_dir, "calls_of_clients"), per_minute=2)
+    return buckets.limited(frame(spark, sf_dir, "calls_of_clients"), per_minute=2).withColumn("retry_after", F.round("retry_after", 3))

@@ -36,11 +36,21 @@ def gadget_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.gadget_findings(frame(spark, sf_dir, "imports"))
 
 
-_CALLS = "k(call, severity, category) AS (VALUES " + ", ".join(f"({quoted(c)}, {s}, {quoted(t)})" for c, s, t in facts.CALLS) + ")"
+def _kind(call: str, column: int) -> str:
+    """SQL for the severity (1) or category (2) of a call."""
+    value = lambda row: str(row[1]) if column == 1 else quoted(row[2])
+    whole = " ".join(f"WHEN {call} = {quoted(r[0])} THEN {value(r)}" for r in rules.PYTHON_CALLS)
+    begins = " ".join(f"WHEN starts_with({call}, {quoted(r[0])}) THEN {value(r)}" for r in rules.PYTHON_CALL_PREFIXES)
+    decodes = f"WHEN {call} IN ({', '.join(map(quoted, rules.DECODERS))}) THEN {1 if column == 1 else quoted('obfuscation')}"
+    return f"CASE {whole} {begins} {decodes} END"
 
 
-@query(f"""WITH {_CALLS} SELECT c.file, c.call, c.line, CAST(CASE WHEN category = 'decoder' AND c.file IN (SELECT file FROM calls WHERE call IN ('eval', 'exec')) THEN 3 ELSE severity END AS INT) AS severity, category, bool_or(on_import) AS on_import
-FROM calls c JOIN k ON k.call = c.call GROUP BY ALL""")
+_SINK = f"{_kind('call', 2)} IN ({', '.join(map(quoted, rules.SINKS))})"
+
+
+@query(f"""WITH k AS (SELECT *, {_kind("call", 1)} AS sev, {_kind("call", 2)} AS category FROM calls)
+SELECT file, call, line, CAST(CASE WHEN category = 'obfuscation' THEN 3 ELSE sev END AS INT) AS severity, category, bool_or(on_import) AS on_import
+FROM k WHERE category IS NOT NULL AND (category <> 'obfuscation' OR file IN (SELECT file FROM calls WHERE call IN ('eval', 'exec'))) GROUP BY file, call, line, sev, category""")
 def call_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.call_findings(frame(spark, sf_dir, "calls"))
 
@@ -53,7 +63,7 @@ def taint_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.tainted(frame(spark, sf_dir, "assigns"))
 
 
-@query(f"{_TAINT} SELECT DISTINCT c.file, c.scope, call, line, arg FROM calls c JOIN tainted t ON t.file = c.file AND t.scope = c.scope AND t.name = c.arg WHERE call IN ('os.system', 'subprocess.run', 'eval', 'exec')", recursive=True)
+@query(f"{_TAINT} SELECT DISTINCT c.file, c.scope, call, line, arg FROM calls c JOIN tainted t ON t.file = c.file AND t.scope = c.scope AND t.name = c.arg WHERE {_SINK}", recursive=True)
 def tainted_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.tainted_flows(frame(spark, sf_dir, "assigns"), frame(spark, sf_dir, "calls"))
 

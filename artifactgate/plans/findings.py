@@ -123,10 +123,10 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ORIGINS = "origins AS (SELECT coalesce(u.publisher, b.publisher) AS publisher, coalesce(u.country, b.country) AS country FROM bundled_origins b FULL OUTER JOIN user_origins u ON b.publisher = u.publisher)"
 _PROVENANCE = f"""{_ORIGINS}, named AS (
-  SELECT *, CASE WHEN signature_status = 'verified' OR claimed_origin IS NOT NULL THEN lower(string_split(repo_id, '/')[1]) ELSE lower(coalesce(sidecar_publisher, string_split(repo_id, '/')[1])) END AS publisher FROM targets),
+  SELECT *, lower(CASE WHEN signature_status = 'verified' THEN signed_publisher WHEN claimed_origin IS NOT NULL THEN string_split(repo_id, '/')[1] ELSE coalesce(sidecar_publisher, string_split(repo_id, '/')[1]) END) AS publisher FROM targets),
 known AS (
-  SELECT n.*, CASE WHEN signature_status = 'verified' AND country IS NOT NULL THEN country WHEN claimed_origin IS NOT NULL THEN claimed_origin WHEN sidecar_origin IS NOT NULL THEN sidecar_origin ELSE country END AS origin,
-         CASE WHEN signature_status = 'verified' AND country IS NOT NULL THEN 'signature' WHEN claimed_origin IS NOT NULL THEN 'explicit' WHEN sidecar_origin IS NOT NULL THEN 'sidecar' WHEN country IS NOT NULL THEN 'database' ELSE 'unknown' END AS origin_source,
+  SELECT n.*, CASE WHEN signature_status = 'verified' THEN upper(signed_origin) WHEN claimed_origin IS NOT NULL THEN claimed_origin WHEN sidecar_origin IS NOT NULL THEN sidecar_origin ELSE country END AS origin,
+         CASE WHEN signature_status = 'verified' THEN 'signed' WHEN claimed_origin IS NOT NULL THEN 'explicit' WHEN sidecar_origin IS NOT NULL THEN 'sidecar' WHEN country IS NOT NULL THEN 'database' ELSE 'unknown' END AS origin_source,
          signature_status = 'verified' AS verified
   FROM named n LEFT JOIN origins o ON n.publisher = o.publisher)"""
 

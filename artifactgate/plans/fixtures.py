@@ -58,6 +58,7 @@ FIXTURES: dict[str, Callable] = {
         SELECT source AS target_id, concat('hf://', source, '/model-', CAST(count(*) AS STRING)) AS target, concat(source, '/Model-', CAST(count(*) AS STRING)) AS repo_id,
                CASE WHEN min(doc_id) % 5 = 0 THEN 'DE' END AS claimed_origin, CASE WHEN min(doc_id) % 7 = 0 THEN 'FR' END AS sidecar_origin, CASE WHEN min(doc_id) % 3 = 0 THEN concat(source, 'x') END AS sidecar_publisher,
                CASE min(doc_id) % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'unsigned' WHEN 2 THEN 'invalid' ELSE 'expired' END AS signature_status,
+               CASE WHEN min(doc_id) % 8 = 0 THEN 'jp' END AS signed_origin, CASE WHEN min(doc_id) % 4 = 0 THEN concat(source, '-signer') END AS signed_publisher,
                CASE WHEN min(doc_id) % 4 = 0 THEN concat('ci@', source, '.example.com') END AS identity, CASE WHEN min(doc_id) % 4 = 0 THEN 'https://issuer.example.com' END AS identity_issuer
         FROM {d.table("documents")} GROUP BY source""",
     "policies": lambda d: """
@@ -70,9 +71,9 @@ FIXTURES: dict[str, Callable] = {
     "overrides": lambda d: """
         SELECT * FROM (VALUES ('default', 'EXFIL_URL', 'ignore'), ('strict', 'EXFIL_SECRET', 'deny'), ('origin', 'EXFIL_CODE_INDICATOR', 'warn'), ('origin', 'EXFIL_IP_ENDPOINT', 'ignore'), ('formats', 'EXFIL_WEBHOOK', 'warn')) AS t(name, rule_id, action)""",
     "findings": lambda d: f"""
-        SELECT source AS target_id, concat(source, '/', CAST(doc_id AS STRING)) AS path, {_cases("doc_id", 5, ["EXFIL_URL", "EXFIL_SECRET", "EXFIL_CODE_INDICATOR", "EXFIL_IP_ENDPOINT", "EXFIL_WEBHOOK"])} AS rule_id,
+        SELECT source AS target_id, concat(source, '/', CAST(doc_id AS STRING), CASE WHEN doc_id % 9 < 5 THEN {_cases("doc_id", 8, [".pkl", ".bin", ".safetensors", ".onnx", ".py", ".gguf", "config.json", ".keras"])} ELSE '/inner' END) AS path, {_cases("doc_id", 5, ["EXFIL_URL", "EXFIL_SECRET", "EXFIL_CODE_INDICATOR", "EXFIL_IP_ENDPOINT", "EXFIL_WEBHOOK"])} AS rule_id,
                CAST(doc_id % 5 AS INT) AS severity, concat('title ', CAST(doc_id % 3 AS STRING)) AS title, {_cases("doc_id", 4, ["exfiltration", "secret", "code-execution"])} AS category, doc_id
-        FROM {d.table("documents")} WHERE doc_id % 9 < 5""",
+        FROM {d.table("documents")}""",
     "signed_manifest": lambda d: """
         SELECT target_id, path, CASE WHEN doc_id % 101 = 0 THEN concat('0', substr(sha256, 2, 63)) ELSE sha256 END AS sha256 FROM files WHERE doc_id % 103 <> 0
         UNION ALL SELECT target_id, concat(path, '.extra') AS path, sha256 FROM files WHERE doc_id % 107 = 0""",
@@ -97,9 +98,10 @@ FIXTURES: dict[str, Callable] = {
                {_cases("event_id", 3, ["verified", "unsigned", "invalid"])} AS status, {_cases("event_id", 6, ["exfiltration", "secret", "code-execution"])} AS category, abs(value) / 10 AS duration, CAST(event_id % 1000 * 100 AS BIGINT) AS bytes, CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END AS errors, user_id
         FROM {d.table("events")}""",
     "requests": lambda d: f"""
-        SELECT CAST(event_id AS STRING) AS uid, ts, user_id % 4 <> 0 AS opted_in, CASE WHEN user_id % 7 = 0 THEN 'registry/app:latest' ELSE concat('registry/app@sha256:', {d.sha("CAST(user_id AS STRING)")}) END AS image,
-               CASE event_id % 11 WHEN 4 THEN 'FAIL' WHEN 5 THEN 'BLOCKED' WHEN 6 THEN '' ELSE 'PASS' END AS verdict, {d.sha("CAST(user_id AS STRING)")} AS digest_a, CASE WHEN event_id % 3 = 0 THEN {d.sha("CAST(user_id + 1 AS STRING)")} END AS digest_b, event_id
-        FROM {d.table("events")} WHERE event_id % 10 = 3""",
+        SELECT CAST(event_id AS STRING) AS uid, ts, user_id % 4 <> 0 AS opted_in, CASE WHEN user_id % 23 = 1 THEN NULL WHEN user_id % 7 = 0 THEN 'registry/app:latest' ELSE concat('registry/app@sha256:', {d.sha("CAST(user_id AS STRING)")}) END AS image,
+               CASE event_id % 11 WHEN 4 THEN 'fail' WHEN 5 THEN 'BLOCKED' WHEN 6 THEN '' ELSE 'PASS' END AS verdict, CASE WHEN event_id % 17 <> 2 THEN {d.sha("CAST(user_id AS STRING)")} END AS digest_a,
+               CASE WHEN event_id % 3 = 0 THEN upper({d.sha("CAST(user_id + 1 AS STRING)")}) END AS digest_b, event_id % 2 = 0 AS pod, event_id
+        FROM {d.table("events")}""",
     "members": lambda d: f"""
         SELECT concat('archive-', CAST(l_orderkey AS STRING)) AS archive, concat(CASE WHEN l_partkey % 50 = 0 THEN '../' WHEN l_partkey % 71 = 0 THEN 'C:' ELSE '' END, {_cases("l_partkey", 9, ["data.pkl", "model.weights.h5", "config.json", "schema.json", "model.ini", "weights.bin"], "'x.txt'")}) AS member,
                CAST(l_extendedprice * 40000 AS BIGINT) AS file_size, CAST(l_quantity * 100000 AS BIGINT) AS compress_size, l_linenumber AS n
@@ -118,7 +120,7 @@ FIXTURES: dict[str, Callable] = {
         SELECT concat('f', CAST(p_partkey % 211 AS STRING)) AS file, concat('s', CAST(p_partkey % 3 AS STRING)) AS scope, concat('v', CAST(p_partkey * 7 % 13 AS STRING)) AS dst, concat('v', CAST(p_partkey * 5 % 13 AS STRING)) AS src, p_partkey % 29 = 0 AS is_source
         FROM {d.table("part")}""",
     "calls": lambda d: f"""
-        SELECT concat('f', CAST(p_partkey % 211 AS STRING)) AS file, concat('s', CAST(p_partkey % 3 AS STRING)) AS scope, {_cases("p_partkey", 8, ["os.system", "subprocess.run", "eval", "requests.get", "base64.b64decode", "print", "getattr"], "'json.loads'")} AS call,
+        SELECT concat('f', CAST(p_partkey % 211 AS STRING)) AS file, concat('s', CAST(p_partkey % 3 AS STRING)) AS scope, {_cases("p_partkey", 12, ["os.system", "subprocess.run", "eval", "requests.get", "base64.b64decode", "print", "getattr(dynamic)", "os.execv", "urllib.request.urlopen", "setattr", "ctypes.CDLL"], "'json.loads'")} AS call,
                CAST(p_partkey % 90 AS INT) AS line, concat('v', CAST(p_partkey % 13 AS STRING)) AS arg, p_partkey % 5 = 0 AS on_import
         FROM {d.table("part")}""",
     "tensors": lambda d: f"""

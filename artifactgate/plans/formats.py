@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from artifactgate import rules
 from artifactgate.operators import formats
 from artifactgate.plans.fixtures import FIXTURES, _cases, frame
-from artifactgate.plans.registry import query
+from artifactgate.plans.registry import query, quoted
 
 _HEADS = ["894844460D0A1A0A", "47475546", "67676D6C00", "934E554D5059", "0000000054464C33", "504B0304", "8004", "10000000000000007B", "747265650A76657273696F6E3D", "63", "0000000045543132", "", "227765696768747322"]
 _EXTS = [".onnx", ".h5", ".gguf", ".bin", ".pkl", ".tflite", ".pte", ".keras", ".safetensors", ".json", ".npz", ".joblib", ".lgb", ".xml", ".pb", "", ".md", ".tgz", ".mar"]
@@ -18,8 +18,8 @@ FIXTURES["artifacts"] = lambda d: f"""
                unhex({_cases("doc_id", 13, _HEADS)}) || {d.bytes("concat(CASE doc_id % 3 WHEN 0 THEN '\"weightsManifest\"' WHEN 1 THEN '<?xml ?><net a=\"../x.so\">' ELSE '<PMML>' END, coalesce(text, ''))")} AS content, doc_id
         FROM {d.table("documents")}"""
 FIXTURES["marked"] = lambda d: f"""
-        SELECT concat('k/', CAST(doc_id AS STRING)) AS path, {_cases("doc_id", 3, ["tensorflow", "coreml", "paddle"])} AS format,
-               concat(coalesce(text, ''), {_cases("doc_id", 10, ["EagerPyFunc", "custom_layer CustomModel", "py_func PyFunc", "FlexReadFile FlexAdd", '{"class_name": "Lambda"} {"class_name": "MyLayer"} {"class_name":"Dense"} {"class_name": "MyLayer"}', "tokenizer.chat_template {{ x.__class__ }} eval (y)", '<a href="../up/x" lib="libz.so.1" u="http://h/x">', '<!ENTITY x>', '<Extension name="a">call python now'])}) AS text
+        SELECT concat('k/', CAST(doc_id AS STRING)) AS path, {_cases("doc_id", 4, ["tf_savedmodel", "coreml", "paddle", "onnx"])} AS format,
+               concat(coalesce(text, ''), {_cases("doc_id", 13, ["EagerPyFunc ai.onnx.contrib", "custom_lib customModel custom_layer", "py_func PyFunc", "FlexReadFile FlexAdd FlexSaveV2", "py_layer LMDBReader PyOp com.microsoft.extensions", "layer { type: \"Python\" }", "WholeFileReaderV2 CustomLayerParams", '{"class_name": "Lambda"} {"class_name": "MyLayer"} {"class_name":"Dense"} {"class_name": "MyLayer"}', "tokenizer.chat_template {{ x.__class__ }} eval (y)", '<a href="../up/x" lib="libz.so.1" u="http://h/x">', '<!ENTITY x>', '<Extension name="a">call python now'])}) AS text
         FROM {d.table("documents")}"""
 
 _EXT = r"lower(regexp_extract(path, '[^/](\.[^./]+)$', 1))"
@@ -73,32 +73,56 @@ def archive_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.archive_findings(frame(spark, sf_dir, "members"))
 
 
-_MARKERS = [("tensorflow", "TF_PYTHON_OP", "EagerPyFunc", 4, False, 0), ("tensorflow", "TF_PYTHON_OP", "PyFunc", 4, False, 1), ("tensorflow", "TF_FILE_OP", "ReadFile", 3, False, 2), ("coreml", "COREML_CUSTOM", "custom_layer", 3, True, 0), ("coreml", "COREML_CUSTOM", "CustomModel", 3, True, 1), ("paddle", "PADDLE_PY_OP", "py_func", 4, False, 0)]
+_MARKERS = ", ".join("(" + ", ".join(quoted(x) if isinstance(x, str) else str(x) for x in m) + ")" for m in rules.MARKERS)
 
 
-@query(f"""WITH k(format, rule_id, marker, severity, first_only, ord) AS (VALUES {", ".join(str(m) for m in _MARKERS)}),
+@query(f"""WITH k(format, rule_id, marker, severity, first_only, ord) AS (VALUES {_MARKERS}),
 f AS (SELECT path, k.*, row_number() OVER (PARTITION BY path, rule_id ORDER BY ord) AS n FROM marked JOIN k ON marked.format = k.format AND contains(text, marker))
 SELECT path, rule_id, marker, CAST(severity AS INT) AS severity FROM f WHERE NOT first_only OR n = 1""")
 def marker_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    markers = spark.createDataFrame(_MARKERS, "format string, rule_id string, marker string, severity int, first_only boolean, ord int")
-    return formats.marker_findings(frame(spark, sf_dir, "marked"), markers)
+    return formats.marker_findings(frame(spark, sf_dir, "marked"))
 
 
-@query("""SELECT DISTINCT path, op, CASE substr(op, 5) WHEN 'ReadFile' THEN 3 WHEN 'PyFunc' THEN 4 ELSE 1 END AS severity FROM (SELECT path, unnest(regexp_extract_all(text, 'Flex[A-Z][A-Za-z0-9]{1,48}')) AS op FROM marked)""")
+_FLEX = " ".join(f"WHEN '{op}' THEN {severity}" for op, severity in rules.FLEX_OPS)
+
+
+@query(f"""SELECT DISTINCT path, op, CASE substr(op, 5) {_FLEX} ELSE 1 END AS severity FROM (SELECT path, unnest(regexp_extract_all(text, 'Flex[A-Z][A-Za-z0-9]{{1,48}}')) AS op FROM marked)""")
 def flex_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.flex_ops(frame(spark, sf_dir, "marked"), spark.createDataFrame([("ReadFile", 3), ("PyFunc", 4)], "base string, severity int"))
+    return formats.flex_ops(frame(spark, sf_dir, "marked"))
 
 
-@query(r"""SELECT DISTINCT path, layer, CASE layer WHEN 'Lambda' THEN 'KERAS_LAMBDA_LAYER' ELSE 'KERAS_CUSTOM_LAYER' END AS rule_id, CASE layer WHEN 'Lambda' THEN 4 ELSE 2 END AS severity
-FROM (SELECT path, unnest(regexp_extract_all(text, '"class_name":\s*"([A-Za-z0-9_.]{1,80})"', 1)) AS layer FROM marked) WHERE layer NOT IN ('Dense', 'Conv2D', 'Model')""")
+@query(f"""SELECT DISTINCT path, layer, CASE layer WHEN 'Lambda' THEN 'KERAS_LAMBDA_LAYER' ELSE 'KERAS_CUSTOM_LAYER' END AS rule_id, CASE layer WHEN 'Lambda' THEN 4 ELSE 2 END AS severity
+FROM (SELECT path, unnest(regexp_extract_all(text, '"class_name":\\s*"([A-Za-z0-9_.]{{1,80}})"', 1)) AS layer FROM marked) WHERE layer NOT IN ({", ".join(map(quoted, rules.KERAS_LAYERS + rules.KERAS_CONTAINERS))})""")
 def layer_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.layer_findings(frame(spark, sf_dir, "marked"), spark.createDataFrame([("Dense",), ("Conv2D",), ("Model",)], "layer string"))
+    return formats.layer_findings(frame(spark, sf_dir, "marked"))
+
+
+@query(f"SELECT path, 'CAFFE_PYTHON_LAYER' AS rule_id, 3 AS severity FROM marked WHERE regexp_matches(text, {quoted(rules.CAFFE_PYTHON)})")
+def python_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.python_layers(frame(spark, sf_dir, "marked"))
+
 
+FIXTURES["checkpoint_members"] = lambda d: f"""
+        SELECT concat('ck-', CAST(l_orderkey AS STRING)) AS archive, {_cases("l_orderkey", 3, ["pytorch", "mar"], "'archive'")} AS kind, concat('code/', CAST(l_partkey AS STRING), {_cases("l_suppkey", 5, [".py", ".pkl", ".bin", ".pyc"], "'.json'")}) AS member
+        FROM {d.table("lineitem")}"""
 
-@query(r"""SELECT path, unnest(list_filter([CASE WHEN regexp_matches(text, '__(?:class|globals|subclasses|builtins|import|init|mro)__') THEN 'GGUF_TEMPLATE_DUNDER' END, CASE WHEN regexp_matches(text, '\b(?:os|sys|subprocess)\s*\.\s*\w+') THEN 'GGUF_TEMPLATE_MODULE' END, CASE WHEN regexp_matches(text, '\b(?:eval|exec|open|popen)\s*\(') THEN 'GGUF_TEMPLATE_CALL' END], lambda x: x IS NOT NULL)) AS rule_id
-FROM marked WHERE contains(text, 'tokenizer.chat_template')""")
+
+@query("""SELECT DISTINCT archive, member, CASE kind WHEN 'mar' THEN 'MAR_HANDLER_CODE' ELSE 'PYTORCH_EMBEDDED_SOURCE' END AS rule_id, 3 AS severity FROM checkpoint_members WHERE kind IN ('mar', 'pytorch') AND ends_with(member, '.py')
+UNION ALL SELECT archive, NULL, 'PYTORCH_NO_PICKLE', 0 FROM checkpoint_members WHERE kind = 'pytorch' GROUP BY archive HAVING NOT bool_or(ends_with(member, '.pkl'))""")
+def member_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.member_findings(frame(spark, sf_dir, "checkpoint_members"))
+
+
+FIXTURES["templates"] = lambda d: f"""
+        SELECT concat('g/', CAST(doc_id AS STRING)) AS path, concat(CASE WHEN doc_id % 11 = 0 THEN 'no template ' ELSE 'tokenizer.chat_template ' END, coalesce(text, ''),
+               {_cases("doc_id", 8, [" {{ x.__class__.__mro__ }} ", " {{ os.popen (y) }} os.environ ", " {{ messages | eval (y) }} ", " open (file) os.path.join(a) exec(b) ", " {% set x = cycler.__globals__ %} {{ import z }} "])}) AS text
+        FROM {d.table("documents")}"""
+_TEMPLATE = " UNION ALL ".join(f"SELECT path, {s} AS severity, left(regexp_extract(text, {quoted(p)}, 0), 160) AS match FROM templates WHERE contains(text, 'tokenizer.chat_template') AND regexp_matches(text, {quoted(p)})" for p, s in rules.TEMPLATE_PATTERNS)
+
+
+@query(f"SELECT path, 'GGUF_TEMPLATE_INJECTION' AS rule_id, severity, match FROM ({_TEMPLATE})")
 def template_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.template_findings(frame(spark, sf_dir, "marked"))
+    return formats.template_findings(frame(spark, sf_dir, "templates"))
 
 
 @query(r"""SELECT path, 'OPENVINO_XML_ENTITY' AS rule_id, NULL::VARCHAR AS value FROM marked WHERE regexp_matches(text, '<!(?:DOCTYPE|ENTITY)')
@@ -109,9 +133,62 @@ def xml_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.xml_findings(frame(spark, sf_dir, "marked"))
 
 
-@query(r"""SELECT path, unnest(list_filter([CASE WHEN contains(text, '<!ENTITY') THEN 'PMML_ENTITY' END, CASE WHEN regexp_matches(text, '(?is)<Extension\b[^>]*>.*(?:script|python|exec|eval|code)') THEN 'PMML_EXTENSION' END], lambda x: x IS NOT NULL)) AS rule_id FROM marked""")
+FIXTURES["pmml"] = lambda d: f"""
+        SELECT concat('p/', CAST(doc_id AS STRING)) AS path, concat('<PMML>', coalesce(text, ''),
+               {_cases("doc_id", 9, ["<!ENTITY x>", '<Extension name="a">call PYTHON now', '<Extension name="a">plain<Extension name="b">', "<Extensions>python", "<Extension>one", "<Extension/><!ENTITY y> eval"])},
+               CASE WHEN doc_id % 2 = 0 THEN repeat('-', 1500) ELSE repeat('-', 2100) END, 'code') AS text
+        FROM {d.table("documents")}"""
+_WINDOWS = """t AS (SELECT path, text, string_split(text, '<Extension') AS s FROM pmml), w AS (SELECT path, s, unnest(range(1, len(s))) AS k FROM t), r AS (SELECT path, array_to_string(s[k + 1:], '<Extension') AS rest FROM w),
+hit AS (SELECT DISTINCT path FROM r WHERE regexp_matches(rest, '^(?:[^A-Za-z0-9_>][^>]*)?>') AND regexp_matches('<extension' || lower(left(rest, 1990)), 'script|python|exec|eval|code'))"""
+
+
+@query(f"WITH {_WINDOWS} SELECT path, 'PMML_XXE' AS rule_id, 3 AS severity FROM pmml WHERE contains(text, '<!ENTITY') UNION ALL SELECT path, 'PMML_EXTENSION_SCRIPT', 2 FROM hit")
 def extension_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.extension_scripts(frame(spark, sf_dir, "marked"))
+    return formats.extension_scripts(frame(spark, sf_dir, "pmml"))
+
+
+FIXTURES["descriptors"] = lambda d: f"""
+        SELECT concat('d/', CAST(doc_id AS STRING), '/MLmodel') AS path, concat('artifact_path: model', chr(10), CASE WHEN doc_id % 4 = 3 THEN concat('python_function:', chr(10), '  loader_module: top', chr(10)) ELSE '' END, 'flavors:', chr(10),
+               CASE WHEN doc_id % 3 = 0 THEN concat('  sklearn:', chr(10), '    code: other', chr(10)) ELSE '' END,
+               CASE WHEN doc_id % 5 < 3 THEN concat('  python_function:', chr(10), '    env: conda.yaml', chr(10), '    loader_module: mod_', source, CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), '    code: code/', CAST(doc_id AS STRING)) ELSE '' END, chr(10)) ELSE '' END,
+               '  onnx:', chr(10), '    loader_module: not.this', chr(10), 'note: ', replace(coalesce(text, ''), chr(10), ' '), chr(10)) AS text
+        FROM {d.table("documents")}"""
+
+
+@query(r"""WITH f AS (SELECT path, regexp_extract(text, '(?s)\nflavors:\n(.*?)\n[a-z_]+:', 1) || chr(10) AS f FROM descriptors), b AS (SELECT path, regexp_extract(f, '  python_function:\n((?:    [^\n]*\n)*)', 1) AS b FROM f)
+SELECT path, 'MLFLOW_PYFUNC_LOADER' AS rule_id, 2 AS severity, regexp_extract(b, '    loader_module: ([^\n]*)', 1) AS loader_module, regexp_extract(b, '    code: ([^\n]*)', 1) AS code FROM b WHERE b <> ''""")
+def loader_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.loader_modules(frame(spark, sf_dir, "descriptors"))
+
+
+FIXTURES["arrays"] = lambda d: f"""
+        SELECT source AS target_id, concat('n/', CAST(doc_id AS STRING), '.npy') AS path, doc_id, {d.bytes("concat('x', coalesce(text, ''))")} AS own,
+               unhex({_cases("doc_id", 7, ["934E554D50590100", "934E554D505901003A00", "934E554D50590100", "934E554D505901", "89504E47"], "'934E554D50590100'")}) AS head,
+               CASE doc_id % 7 WHEN 0 THEN '|O' WHEN 2 THEN '<f4' WHEN 5 THEN 'O' ELSE '<i8' END AS kind
+        FROM {d.table("documents")}"""
+
+FIXTURES["npy"] = lambda d: f"""
+        SELECT target_id, path, doc_id, CASE WHEN doc_id % 7 IN (0, 2, 5, 6) THEN head || unhex('2600') || {d.bytes("rpad(concat('{''descr'': ''', kind, ''', ''shape'': (3,)}'), 38, ' ')")} || {d.bytes("concat('cos', chr(10), 'system', chr(10), '(S''', CAST(doc_id AS STRING), '''', chr(10), 'tR.')")} ELSE head END AS content
+        FROM arrays"""
+
+
+@query(r"""WITH a AS (SELECT path, hex(content) AS h FROM npy WHERE left(hex(content), 12) = '934E554D5059'), n AS (SELECT path, h, CASE WHEN length(h) >= 20 THEN CAST('0x' || substr(h, 19, 2) || substr(h, 17, 2) AS INT) END AS n FROM a)
+SELECT path, CASE WHEN n IS NULL THEN 'NUMPY_MALFORMED' ELSE 'NUMPY_OBJECT_ARRAY' END AS rule_id, CASE WHEN n IS NULL THEN 2 ELSE 3 END AS severity FROM n WHERE n IS NULL OR regexp_matches(decode(unhex(substr(h, 21, 2 * n))), '''descr'':\s*''?\|?O')""")
+def numpy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.numpy_findings(frame(spark, sf_dir, "npy"))
+
+
+_OBJECTS = " OR ".join(f"contains(hex(content), hex(encode({quoted(head)})))" for head in ("'descr': '|O'", "'descr': 'O'"))
+
+
+@query(f"SELECT path AS file, 'os' AS module, 'system' AS name, 4 AS severity FROM npy WHERE left(hex(content), 12) = '934E554D5059' AND ({_OBJECTS}) AND contains(hex(content), hex(encode('cos' || chr(10) || 'system' || chr(10))))")
+def numpy_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pickles inside arrays of objects import."""
+    from artifactgate.helpers import bytes as raw
+    from artifactgate.operators import facts
+
+    found = raw.pickle_facts(formats.numpy_payloads(frame(spark, sf_dir, "npy"))).where("error IS NULL").withColumnRenamed("path", "file")
+    return facts.import_findings(found).select("file", "module", "name", "severity")
 
 
 @query("""SELECT file, tensor, unnest(list_filter([CASE WHEN CASE dtype WHEN 'F16' THEN 2 ELSE 4 END * n <> span THEN 'WEIGHTS_SIZE_MISMATCH' END, CASE WHEN vec_id % 13 = 0 THEN 'WEIGHTS_NON_FINITE' END], lambda x: x IS NOT NULL)) AS rule_id FROM tensors""")
@@ -144,9 +221,22 @@ def header_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.header_findings(frame(spark, sf_dir, "headers"))
 
 
-FIXTURES["locations"] = lambda d: f"SELECT concat('o/', CAST(doc_id AS STRING)) AS path, concat('x location', chr(18), chr(9), '../up.bin', ' and location', chr(18), chr(5), 'plain', ' location', chr(18), chr(4), '/etc', chr(1)) AS text FROM {d.table('documents')} WHERE doc_id % 3 = 0"
+_LOCATIONS = [
+    ["x location", 18, 9, "../up.bin", " and location", 18, 5, "../bb", " end"],
+    ["location", 18, 30, "/a location", 18, 4, "../c and what follows here", " location", 18, 5, "plain"],
+    ["location", 18, 12, "https://x/y ", "location", 18, 3, "C:/", "location", 18, 120, "../short"],
+]
+
+
+def _located(parts: list) -> str:
+    return "concat(" + ", ".join(f"chr({p})" if isinstance(p, int) else f"'{p}'" for p in parts) + ")"
+
+
+FIXTURES["locations"] = lambda d: f"SELECT concat('o/', CAST(doc_id AS STRING)) AS path, concat(coalesce(text, ''), CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN {_located(p)}" for k, p in enumerate(_LOCATIONS)) + f" ELSE '' END) AS text FROM {d.table('documents')}"
 
 
-@query("SELECT path, unnest(['../up.bin', '/etc']) AS location FROM locations")
+@query("""WITH p AS (SELECT path, string_split(text, 'location' || chr(18)) AS s FROM locations), k AS (SELECT path, s, unnest(range(1, len(s))) AS k FROM p),
+v AS (SELECT path, array_to_string(s[k + 1:], 'location' || chr(18)) AS rest FROM k), l AS (SELECT DISTINCT path, substr(rest, 2, ascii(rest)) AS location FROM v WHERE ascii(rest) BETWEEN 1 AND 127)
+SELECT path, location FROM l WHERE regexp_matches(location, '^[A-Za-z][A-Za-z0-9+.-]*://') OR starts_with(location, '/') OR regexp_matches(location, '^[A-Za-z]:') OR list_contains(string_split(replace(location, chr(92), '/'), '/'), '..')""")
 def external_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.external_locations(frame(spark, sf_dir, "locations"))

@@ -38,7 +38,7 @@ FIXTURES["sources"] = lambda d: f"SELECT source AS target_id, concat(CAST(doc_id
 @query("""SELECT target_id, path, 'call' AS fact, c.name, CAST(c.line AS INT) AS line, c.top AS on_import, c.arg FROM sources, (VALUES ('input', 2, true, NULL), ('os.system', 6, false, 'z'), ('eval', 7, true, 'y')) AS c(name, line, top, arg) WHERE doc_id % 7 <> 0
 UNION ALL SELECT target_id, path, 'error', 'SyntaxError', 0, false, NULL FROM sources WHERE doc_id % 7 = 0""")
 def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw.source_facts(frame(spark, sf_dir, "sources")).where("fact <> 'assign'").select("target_id", "path", "fact", "name", "line", "on_import", "arg")
+    return raw.source_facts(frame(spark, sf_dir, "sources")).where("fact IN ('call', 'error')").select("target_id", "path", "fact", "name", "line", "on_import", "arg")
 
 
 @query("SELECT source AS target_id, CAST(doc_id AS VARCHAR) AS path, CAST(doc_id % 200 + 1 AS INT) AS xor_key, 'import os; os.system(1)' AS plain FROM documents")
@@ -59,6 +59,16 @@ def low_plane_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.indicator_findings(raw.low_planes(tensors, most=None)).select("target_id", "path", "rule_id", "key", "severity")
 
 
+@query()
+def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dangerous calls, environment reads and flows of decoded data in Python sources."""
+    found = raw.source_facts(frame(spark, sf_dir, "sources")).withColumnRenamed("path", "file")
+    calls = facts.call_findings(found.where("fact = 'call'").withColumnRenamed("name", "call"))
+    out = calls.select("file", F.lit("PY_DANGEROUS_CALL").alias("rule_id"), F.col("call").alias("name"), "severity", "category", "line", "on_import")
+    env = facts.environment_findings(found).select("file", "rule_id", F.lit("os.environ").alias("name"), "severity", F.lit("secret").alias("category"), "line", F.lit(None).cast("boolean").alias("on_import"))
+    return out.unionByName(env).unionByName(facts.flow_findings(found))
+
+
 FIXTURES["json_bodies"] = lambda d: f"SELECT source AS target_id, CAST(doc_id AS STRING) AS path, {d.bytes(chr(39) + chr(123) + chr(34) + 'a' + chr(34) + ':[' + chr(123) + chr(34) + 'auto_map' + chr(34) + ':' + chr(123) + chr(34) + 'm' + chr(34) + ':' + chr(34) + 'x.Y' + chr(34) + chr(125) + chr(125) + ']' + chr(125) + chr(39))} AS content FROM {d.table('documents')}"
 
 

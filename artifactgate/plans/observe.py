@@ -78,9 +78,17 @@ def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.sarif_rules(frame(spark, sf_dir, "findings"))
 
 
-@query()
+def _parts(table: str, by: str) -> str:
+    return f"(SELECT r.*, CAST('0x' || substr(sha256({by}), 1, 8) AS BIGINT) % c.parts AS part FROM {table} r JOIN (SELECT target_id, CAST(ceil(count(*) / 200) AS BIGINT) AS parts FROM {table} GROUP BY target_id) c ON c.target_id = r.target_id)"
+
+
+@query(f"""WITH res AS (SELECT target_id, rule_id, CASE WHEN severity <= 1 THEN 'note' WHEN severity = 2 THEN 'warning' ELSE 'error' END AS level, coalesce(path, target_id) AS uri, title AS message FROM findings),
+p AS {_parts("res", "uri")}, n AS (SELECT target_id, rule_id, left(arg_min(title, doc_id), 120) AS name FROM findings GROUP BY ALL),
+d AS (SELECT target_id, part, list_sort(list({{'rule_id': rule_id, 'level': level, 'uri': uri, 'message': message}})) AS results FROM p GROUP BY ALL),
+u AS (SELECT p.target_id, part, list_sort(list(DISTINCT {{'rule_id': p.rule_id, 'name': name}})) AS rules FROM p JOIN n ON n.target_id = p.target_id AND n.rule_id = p.rule_id GROUP BY ALL)
+SELECT d.target_id, d.part, CAST(to_json({{'version': '2.1.0', 'runs': [{{'rules': rules, 'results': results}}]}}) AS VARCHAR) AS body FROM d JOIN u ON u.target_id = d.target_id AND u.part = d.part""")
 def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.sarif_documents(frame(spark, sf_dir, "findings"))
+    return observe.sarif_documents(frame(spark, sf_dir, "findings"), most=200)
 
 
 @query("SELECT t.target_id, max(severity) AS max_severity, count(rule_id) AS n_findings, array_to_string(list_sort(list_distinct(list(rule_id)))[1:20], ',') AS rule_ids FROM targets t LEFT JOIN findings f ON f.target_id = t.target_id GROUP BY t.target_id")
@@ -88,9 +96,12 @@ def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.audit_records(frame(spark, sf_dir, "targets"), frame(spark, sf_dir, "findings")).drop("body")
 
 
-@query()
+@query(f"""WITH g AS (SELECT target_id, path, list_sort(list({{'rule_id': rule_id, 'severity': severity}})) AS fs FROM findings GROUP BY ALL), p AS {_parts("files", "path")}
+SELECT target_id, part, CAST(to_json({{'target_id': target_id, 'part': part, 'files': files}}) AS VARCHAR) AS body
+FROM (SELECT p.target_id, part, list_sort(list({{'path': p.path, 'format': format, 'size': size, 'sha256': sha256, 'findings': coalesce(fs, [])}})) AS files FROM p LEFT JOIN g ON g.target_id = p.target_id AND g.path = p.path GROUP BY p.target_id, part)""")
 def nested_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.nested_reports(frame(spark, sf_dir, "files"), observe.tagged(frame(spark, sf_dir, "findings").withColumn("tags", F.array("category")), observe.techniques(frame(spark, sf_dir, "findings"), spark.createDataFrame(rules.TECHNIQUES, "prefix string, technique string"))))
+    findings = frame(spark, sf_dir, "findings").withColumn("path", F.concat("path", F.lit("")))
+    return observe.nested_reports(frame(spark, sf_dir, "files").drop("doc_id"), findings, most=200)
 
 
 _PREFIXES = ", ".join(f"({quoted(p)}, {quoted(t)})" for p, t in rules.TECHNIQUES)
@@ -105,12 +116,17 @@ def rule_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT round(avg(CASE WHEN label = 'malicious' THEN (max_severity >= 2)::INT END), 9) AS tpr, round(avg(CASE WHEN label = 'benign' THEN (verdict IN ('FAIL', 'BLOCKED'))::INT END), 9) AS fpr, count(*) FILTER (label = 'benign' AND verdict = 'WARN') AS benign_warned,
-  string_agg(id, ',' ORDER BY id) FILTER (label = 'malicious' AND max_severity < 2) AS missed, string_agg(id, ',' ORDER BY id) FILTER (label = 'benign' AND verdict IN ('FAIL', 'BLOCKED')) AS false_positives,
+  count(*) FILTER (label = 'malicious' AND max_severity < 2) AS missed, count(*) FILTER (label = 'benign' AND verdict IN ('FAIL', 'BLOCKED')) AS false_positives,
   round(quantile_cont(CAST(seconds AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(seconds AS DOUBLE), 0.95), 6) AS p95 FROM tool_results""")
 def detection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.detection_metrics(frame(spark, sf_dir, "tool_results").withColumn("seconds", F.col("seconds").cast("double")))
 
 
+@query("SELECT id, CASE label WHEN 'malicious' THEN 'missed' ELSE 'false_positive' END AS error FROM tool_results WHERE (label = 'malicious' AND max_severity < 2) OR (label = 'benign' AND verdict IN ('FAIL', 'BLOCKED'))")
+def detection_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe.detection_errors(frame(spark, sf_dir, "tool_results"))
+
+
 @query("SELECT attack_class, count(*) AS n, count(*) FILTER (max_severity >= 2) AS detected, array_to_string(list_sort(list_distinct(list(rule_id)))[1:3], ',') AS rules FROM tool_results WHERE label = 'malicious' GROUP BY attack_class")
 def detection_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.by_attack_class(frame(spark, sf_dir, "tool_results"))

@@ -29,12 +29,26 @@ def _run(client: str, times: pd.Series, tokens: float, last: float | None, per_m
 
 
 def limited(requests: DataFrame, per_minute: int = 60) -> DataFrame:
-    """Of each (client, ts) whether it is let through, and seconds to wait if not; a client's requests in order of time."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _run(key[0], pdf["ts"], float(per_minute), None, per_minute)[0]
-
-    return requests.select("client", "ts").groupBy("client").applyInPandas(one, OUT)
+    """Of each (client, ts) whether it is let through, and seconds to wait if not; a client's requests in order of time.
+
+    Rows are sorted by client and time and read batch by batch, with one client's
+    bucket in memory; no client's history is ever held whole.
+    """
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, tokens, last = None, float(per_minute), None
+        for frame in frames:
+            out = []
+            for own, times in frame.groupby("client", sort=False, dropna=False)["ts"]:
+                own = None if pd.isna(own) else own
+                if own != client or last is None:
+                    client, tokens, last = own, float(per_minute), None
+                rows, tokens, last = _run(own, times, tokens, last, per_minute)
+                out.append(rows)
+            if out:
+                yield pd.concat(out)
+
+    return requests.select("client", "ts").repartition("client").sortWithinPartitions("client", "ts").mapInPandas(walk, OUT)
 
 
 def limited_stream(requests: DataFrame, per_minute: int = 60, idle: str = "10 minutes") -> DataFrame:

@@ -28,11 +28,33 @@ def block_ratio_from_minutes(scans: DataFrame, minutes: int = 15) -> DataFrame:
     return sums.select("from_ts", "total", F.round(F.col("bad") / F.greatest("total", F.lit(1)), 9).alias("ratio"))
 
 
+#: (alert, minutes of its window, count above which it is raised).
+ALERTS = [("errors", 5, 0), ("blocks", 15, 3), ("capacity_rejects", 10, 0), ("auth_rejects", 5, 10)]
+
+
+def alerts_of(scans: DataFrame, minutes: int, late: str = "10 minutes") -> DataFrame:
+    """(alert, from_ts, n): windows of so many minutes in which a count passes the threshold of an alert of that length.
+
+    Scans with errors and blocked ones count; so do rejects, rows whose verdict is
+    REJECTED: those for want of capacity (status capacity or rate) and those for
+    want of a right (status auth).
+    """
+    rejected = F.col("verdict") == "REJECTED"
+    said = {"errors": F.col("errors") > 0, "blocks": F.col("verdict") == "BLOCKED", "capacity_rejects": rejected & F.col("status").isin("capacity", "rate"), "auth_rejects": rejected & (F.col("status") == "auth")}
+    own = [(name, over) for name, length, over in ALERTS if length == minutes]
+    rule = F.explode(F.array_compact(F.array(*(F.when(said[name], F.struct(F.lit(name).alias("alert"), F.lit(over).alias("over"))) for name, over in own))))
+    rows = scans.withWatermark("ts", late).select("ts", rule.alias("r")).select("ts", "r.*")
+    sums = rows.groupBy("alert", "over", F.window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n"))
+    return sums.where("n > over").select("alert", F.col("w.start").alias("from_ts"), "n")
+
+
 def alerts(scans: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """(alert, from_ts, n): windows in which a count passes its threshold."""
-    rule = F.explode(F.array_compact(F.array(F.when(F.col("errors") > 0, F.lit("errors")), F.when(F.col("verdict") == "BLOCKED", F.lit("blocks")))))
-    rows = scans.withWatermark("ts", late).select("ts", rule.alias("alert"))
-    return rows.groupBy("alert", F.window("ts", "5 minutes").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > F.when(F.col("alert") == "errors", 0).otherwise(3)).select("alert", F.col("w.start").alias("from_ts"), "n")
+    """The alerts of all lengths."""
+    first, *rest = sorted({minutes for _, minutes, _ in ALERTS})
+    out = alerts_of(scans, first, late)
+    for minutes in rest:
+        out = out.unionByName(alerts_of(scans, minutes, late))
+    return out
 
 
 def silent_windows(scans: DataFrame, minutes: int = 10) -> DataFrame:
