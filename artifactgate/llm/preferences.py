@@ -11,8 +11,9 @@ over them. A pair's row holds its two conversations and nothing else.
 Defined results: turns go in the order of turn, role and text, nulls first, and
 equal rows count once; a null role is rendered as "unknown" and a null text as
 empty; a pair with one conversation only has no prompt and an empty completion
-on the other side; equal conversations are all prompt. Rows without conv_id
-belong to no pair. Other columns are passed over.
+on the other side; equal conversations are all prompt. A text is rendered as it
+is, marks that it holds included: masks go by turns, not by marks. Rows without
+conv_id belong to no pair. Other columns are passed over.
 """
 
 from __future__ import annotations
