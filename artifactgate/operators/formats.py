@@ -261,7 +261,7 @@ def extension_scripts(artifacts: DataFrame) -> DataFrame:
 
     Windows may overlap: each extension is looked at from where it stands.
     """
-    windows = F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{1,2000}))<Extension\b[^>]*>"), F.lit(1))
+    windows = F.regexp_extract_all("text", F.lit(r"(?s)(?=<Extension\b[^>]*>)(?=(.{1,2000}))<Extension\b[^>]*>"), F.lit(1))
     script = F.exists(windows, lambda w: w.rlike("(?i)script|python|exec|eval|code"))
     said = lambda test, rule, severity: F.when(test, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity")))
     rows = F.array_compact(F.array(said(F.col("text").rlike("<!ENTITY"), "PMML_XXE", rules.HIGH), said(script, "PMML_EXTENSION_SCRIPT", rules.MEDIUM)))
