@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from artifactgate.llm import decontaminate, embeddings, lines, minhash, mixing, pii, preferences, quality, toxicity, warc
+from artifactgate.llm import decontaminate, embeddings, lines, minhash, mixing, phrases, pii, preferences, quality, tokens, toxicity, warc, whitening
 from artifactgate.llm.common import table
 
 
@@ -50,6 +51,18 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_decontaminate, op9_minhash, op6_toxicity, op4_lines, op1_mixing, op5_embeddings, op2_pii, op7_quality, op3_warc, op10_preferences)}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op5_embeddings": embeddings.ORACLE_SQL, "op10_preferences": preferences.ORACLE_SQL}
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_decontaminate, op9_minhash, op6_toxicity, op4_lines, op1_mixing, op5_embeddings, op2_pii, op7_quality, op3_warc, op10_preferences, op11_phrases, op12_tokens, op13_whitening)}
+
+ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op5_embeddings": embeddings.ORACLE_SQL, "op10_preferences": preferences.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL}
