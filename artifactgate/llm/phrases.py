@@ -46,7 +46,7 @@ from artifactgate.llm.textops import _alphabet, mix, slices, split_words
 
 LEAST, DEPTH, TOP = 100, 5, 2_000
 #: Suffixes of a group, words of the broadcast, heavy prefixes of the broadcast, suffixes that a task combines at once, and bytes of text split at once.
-BUDGET, MOST_WORDS, MOST_HEAVY, COMBINED, SLICE = 2_000_000, (1 << 21) - 2, 1 << 20, 1 << 20, 4 << 20
+BUDGET, MOST_WORDS, MOST_HEAVY, COMBINED, SLICE = 2_000_000, (1 << 21) - 2, 1 << 20, 1 << 18, 2 << 20
 U = np.uint64
 
 BREAKS = np.zeros(256, dtype=bool)
