@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from artifactgate.plans import approve, facts, findings, formats, helpers, observe  # noqa: F401
+from artifactgate.plans import approve, archives, facts, findings, formats, helpers, observe  # noqa: F401
 from artifactgate.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

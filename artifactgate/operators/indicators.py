@@ -1,8 +1,8 @@
 """Indicators in strings: endpoints, secrets, code, and encoded payloads.
 
-``runs_of`` cuts artifacts into printable runs; ``matches`` applies every rule to
-every run in one pass, each behind a cheap test for a piece that any match must
-hold; ``first_findings`` keeps one finding for each rule and key of a file.
+``runs_of`` cuts artifacts into printable runs; ``windowed`` cuts them into byte
+ranges, and ``matches`` applies every rule to each of these in one pass;
+``first_findings`` keeps one finding for each rule and key of a file.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from artifactgate import rules
 from artifactgate.functions import text as fn
+from artifactgate.helpers import scan
 from artifactgate.helpers.decode import payload_of
 
 CAP = 500
@@ -24,43 +25,46 @@ def runs_of(artifacts: DataFrame, least: int = 8) -> DataFrame:
     return artifacts.select("target_id", "path", F.posexplode(F.concat(fn.printable_runs(text, least), wide)).alias("run_no", "run"))
 
 
-def _hits(run: Column, rule_no: int, rule_id: str, label: str, pattern: str, severity: int, needle: str, key_chars: int, labelled: bool = False, test=None, gate: Column | None = None) -> Column:
-    """array<struct>: the matches of one rule in a run."""
-    found = F.regexp_extract_all(run, F.lit(pattern), F.lit(0))
-    if test is not None:
-        found = F.filter(found, test)
-    cut = lambda m: F.substring(m, 1, key_chars)
-    key = (lambda m: F.concat(F.lit(f"{label}:"), cut(m))) if labelled else cut
-    out = F.transform(found, lambda m, i: F.struct(F.lit(rule_no).alias("rule_no"), i.alias("match_no"), F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), key(m).alias("key"), F.substring(m, 1, 200).alias("match")))
-    worth = F.contains(run, F.lit(needle)) if needle else F.lit(True)
-    return F.when(worth if gate is None else worth & gate, out)
-
-
-def matches(runs: DataFrame, hosts: list[str] | None = None) -> DataFrame:
-    """One row for each match of each rule in (target_id, path, run_no, run)."""
-    run, n = F.col("run"), iter(range(100))
-    every = [_hits(run, next(n), "EXFIL_WEBHOOK", label, p, rules.CRITICAL, needle, 120) for label, p, needle in rules.WEBHOOKS]
-    every.append(_hits(run, next(n), "EXFIL_URL", "url", rules.URL, rules.MEDIUM, "://", 120, test=lambda m: ~fn.is_benign_url(m, hosts)))
-    every.append(_hits(run, next(n), "EXFIL_IP_ENDPOINT", "ip", rules.IP_PORT, rules.HIGH, ":", 60, test=lambda m: F.substring_index(m, ":", -1).cast("int") > 10))
-    secret = (F.length(run) >= 14) & ~fn.is_weighty(run)
-    every += [_hits(run, next(n), "EXFIL_SECRET", label, p, severity, needle, 64, gate=secret) for label, p, severity, needle in rules.SECRETS]
-    every += [_hits(run, next(n), "EXFIL_CODE_INDICATOR", label, p, severity, needle, 60, labelled=True) for label, p, severity, needle in rules.CODE]
-    kind = "array<struct<rule_no:int,match_no:int,rule_id:string,severity:int,key:string,match:string>>"
-    found = F.flatten(F.array(*(F.coalesce(h.cast(kind), F.array().cast(kind)) for h in every)))
-    return runs.select("target_id", "path", "run_no", F.explode(found).alias("m")).select("target_id", "path", "run_no", "m.*")
-
-
-def first_findings(found: DataFrame, cap: int = CAP) -> DataFrame:
-    """The first match of each rule and key of a file, and of those the first ``cap`` of the file in order of the scan."""
-    order = F.struct("run_no", "rule_no", "match_no")
+#: Bytes of a window, and of its neighbours that it sees on either side.
+WINDOW, OVERLAP = 4 << 20, 4096
+
+
+def windowed(artifacts: DataFrame, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """(target_id, path, at, before, own, content) of (target_id, path, text or content): byte ranges, so that one huge file is many tasks' work.
+
+    A window owns ``own`` bytes from offset ``at`` and sees ``overlap`` more on
+    either side: a run of at most so many bytes is whole wherever a match starts.
+    """
+    content = F.col("content") if "content" in artifacts.columns else F.encode("text", "UTF-8")
+    # Exploded, so that the bytes are made once, and cut as bytes, whose parts are found without reading from the start.
+    rows = artifacts.select("target_id", "path", F.explode(F.array(F.struct(content.alias("c")))).alias("f")).select("target_id", "path", F.col("f.c").alias("content"))
+    size = F.length("content")
+    starts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(window)))
+
+    def cut(at: Column) -> Column:
+        before = F.least(at, F.lit(overlap))
+        part = F.substring(F.col("content"), at - before + 1, before + F.lit(window + overlap))
+        return F.struct(at.cast("bigint").alias("at"), before.alias("before"), F.least(F.lit(window), size - at).alias("own"), part.alias("content"))
+
+    return rows.select("target_id", "path", F.explode(F.transform(starts, cut)).alias("w")).select("target_id", "path", "w.*")
+
+
+def matches(artifacts: DataFrame, hosts: list[str] | None = None, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """One row for each match of each rule in (target_id, path, text or content), with its offset ``at``."""
+    return scan.matches(windowed(artifacts, window, overlap), hosts)
+
+
+def first_findings(found: DataFrame, cap: int = CAP, also: tuple[str, ...] = ()) -> DataFrame:
+    """The first match of each rule and key of a file, and of those the first ``cap`` of the file in order of the scan; ``also``: more columns that name a file."""
+    file, order = ["target_id", "path", *also], F.struct("kind", "run_at", "rule_no", "at")
     # min_by is combined before the shuffle, so a file with millions of matches sends one row a key.
-    firsts = found.groupBy("target_id", "path", "rule_id", "key").agg(F.min(F.struct(order.alias("at"), "severity", "match")).alias("f"))
-    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("target_id", "path").orderBy("f.at")))
-    return ranked.where(F.col("rank") <= cap).select("target_id", "path", "rule_id", "key", "f.severity", "f.match", "rank")
+    firsts = found.groupBy(*file, "rule_id", "key").agg(F.min(F.struct(order.alias("order"), "severity", "match")).alias("f"))
+    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy(*file).orderBy("f.order")))
+    return ranked.where(F.col("rank") <= cap).select(*file, "rule_id", "key", "f.severity", "f.match", "rank")
 
 
 def indicator_findings(artifacts: DataFrame, hosts: list[str] | None = None, cap: int = CAP) -> DataFrame:
-    return first_findings(matches(runs_of(artifacts), hosts), cap)
+    return first_findings(matches(artifacts, hosts), cap)
 
 
 def encoded_findings(artifacts: DataFrame, hosts: list[str] | None = None) -> DataFrame:
@@ -87,18 +91,9 @@ def payload_verdict(decoded: DataFrame, hosts: list[str] | None = None) -> DataF
     return decoded.withColumn("reason", reason).where("reason IS NOT NULL").withColumn("severity", F.when(code.isNotNull(), rules.CRITICAL).otherwise(rules.HIGH)).drop("text")
 
 
-def windowed(artifacts: DataFrame, window: int = 64 << 20, overlap: int = 4096) -> DataFrame:
-    """Rows of (target_id, path, text) cut into overlapping windows, so that one huge file is many tasks' work."""
-    size = F.length("text")
-    starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(window))
-    cut = artifacts.select("target_id", "path", "text", F.explode(starts).alias("at"))
-    return cut.select("target_id", "path", F.col("at").alias("window_at"), F.expr(f"substring(text, greatest(at - {overlap}, 0) + 1, {window} + least(at, {overlap}))").alias("text"))
-
-
-def windowed_findings(artifacts: DataFrame, window: int = 64 << 20, overlap: int = 4096) -> DataFrame:
-    """(target_id, path, rule_id, key, severity): distinct findings over windows."""
-    found = matches(runs_of(windowed(artifacts, window, overlap)))
-    return found.groupBy("target_id", "path", "rule_id", "key").agg(F.max("severity").alias("severity"))
+def windowed_findings(artifacts: DataFrame, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """(target_id, path, rule_id, key, severity, n): distinct findings over windows, and how many matches each has; a match counts where it starts."""
+    return matches(artifacts, window=window, overlap=overlap).groupBy("target_id", "path", "rule_id", "key").agg(F.max("severity").alias("severity"), F.count("*").alias("n"))
 
 
 def truncated(files: DataFrame, limit: int) -> DataFrame:

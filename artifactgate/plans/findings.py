@@ -43,7 +43,7 @@ def _all_matches() -> str:
     return " UNION ALL ".join(parts)
 
 
-_FINDINGS = (
+FINDINGS_SQL = (
     f"WITH {_RUNS}, "
     "gated AS (SELECT *, length(run) >= 64 AND NOT contains(run, ' ') AND list_sum(list_transform(list_distinct(string_split(run, '')), lambda c: -(len(list_filter(string_split(run, ''), lambda x: x = c)) / length(run)) * log2(len(list_filter(string_split(run, ''), lambda x: x = c)) / length(run)))) > 4.5 AS weighty FROM runs), "
     f"matches AS ({_all_matches()}), "
@@ -57,14 +57,14 @@ def printable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.runs_of(frame(spark, sf_dir, "text_artifacts"))
 
 
-@query(f"{_FINDINGS} SELECT target_id, path, rule_id, key, CAST(severity AS INT) AS severity, match, CAST(rank AS INT) AS rank FROM content")
+@query(f"{FINDINGS_SQL} SELECT target_id, path, rule_id, key, CAST(severity AS INT) AS severity, match, CAST(rank AS INT) AS rank FROM content")
 def indicator_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.indicator_findings(frame(spark, sf_dir, "text_artifacts"))
 
 
-@query(f"{_FINDINGS} SELECT target_id, path, rule_id, key, CAST(max(severity) AS INT) AS severity FROM matches GROUP BY ALL")
+@query(f"{FINDINGS_SQL} SELECT target_id, path, rule_id, key, CAST(max(severity) AS INT) AS severity, count(*) AS n FROM matches GROUP BY ALL")
 def windowed_indicator_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same findings from overlapping windows of a file as from the whole."""
+    """The same matches from windows of a file as from the whole, each counted once."""
     return indicators.windowed_findings(frame(spark, sf_dir, "text_artifacts"), window=16_384, overlap=4096)
 
 
@@ -187,7 +187,7 @@ def rule_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_FINDINGS}, {_POLICY}, {_OVERRIDDEN.format(source="content")},
+    f"""{FINDINGS_SQL}, {_POLICY}, {_OVERRIDDEN.format(source="content")},
 v AS (SELECT p.name AS policy, t.target_id, fail_on, (SELECT bool_or(blocks) FROM said s WHERE s.policy = p.name AND s.target_id = t.target_id) AS b1, (SELECT bool_or(blocks) FROM eff e WHERE e.policy = p.name AND e.target_id = t.target_id) AS b2,
              (SELECT sum(n) FROM eff e WHERE e.policy = p.name AND e.target_id = t.target_id) AS nf, (SELECT count(*) FROM said s WHERE s.policy = p.name AND s.target_id = t.target_id) AS np, (SELECT max(severity) FROM eff e WHERE e.policy = p.name AND e.target_id = t.target_id) AS ms
       FROM policies p CROSS JOIN targets t)

@@ -21,6 +21,7 @@ class Spark:
     split = staticmethod(lambda x: f"filter(split({x}, ','), v -> v <> '')")
     bytes = staticmethod(lambda x: f"encode({x}, 'UTF-8')")
     seconds = staticmethod(lambda ts, n: f"timestampadd(SECOND, {n}, {ts})")
+    everywhere = ""  # what makes regexp_replace replace every match
 
 
 class Duck:
@@ -29,6 +30,7 @@ class Duck:
     split = staticmethod(lambda x: f"list_filter(string_split({x}, ','), lambda v: v <> '')")
     bytes = staticmethod(lambda x: f"encode({x})")
     seconds = staticmethod(lambda ts, n: f"({ts} + to_seconds({n}))")
+    everywhere = ", 'g'"
 
 
 def _cases(key: str, n: int, values: list[str], other: str = "''") -> str:

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artifactgate.helpers import bytes as raw
+from artifactgate.helpers import scan
 from artifactgate.operators import facts, indicators
 from artifactgate.plans.fixtures import FIXTURES, frame
-from artifactgate.plans.registry import query
+from artifactgate.plans.registry import query, quoted
 
-_PICKLES = ["cos\nsystem\n(S''echo''\ntR.", "ccollections\nOrderedDict\n(tR.", "cbuiltins\neval\n(S''1''\ntR.cos\npopen\n.", "not a pickle", "ctorch._utils\n_rebuild_tensor_v2\n."]
+#: Pickles that hold each document's text as a string, before, between or behind what they import; TEXT stands for it.
+_PICKLES = ["cos\nsystem\n(VTEXT\ntR.", "ccollections\nOrderedDict\n(VTEXT\ntR.", "VTEXT\n0cbuiltins\neval\n(VTEXT\ntR.cos\npopen\n.", "not a pickle TEXT", "(VTEXT\nctorch._utils\n_rebuild_tensor_v2\nt."]
+_LINE = "translate(coalesce(text, ''), chr(10) || chr(13) || chr(92), '   ')"
 
-FIXTURES["pickles"] = lambda d: f"SELECT source AS target_id, concat(CAST(doc_id AS STRING), '.pkl') AS path, {d.bytes('CASE doc_id % 5 ' + ' '.join('WHEN %d THEN %s' % (k, repr_sql(p)) for k, p in enumerate(_PICKLES)) + ' END')} AS content, doc_id FROM {d.table('documents')}"
+FIXTURES["pickles"] = lambda d: f"SELECT source AS target_id, concat(CAST(doc_id AS STRING), '.pkl') AS path, {d.bytes('replace(CASE doc_id % 5 ' + ' '.join('WHEN %d THEN %s' % (k, repr_sql(p)) for k, p in enumerate(_PICKLES)) + f' END, {quoted("TEXT")}, {_LINE})')} AS content, doc_id FROM {d.table('documents')}"
 
 
 def repr_sql(text: str) -> str:
@@ -41,14 +44,22 @@ def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.source_facts(frame(spark, sf_dir, "sources")).where("fact IN ('call', 'error')").select("target_id", "path", "fact", "name", "line", "on_import", "arg")
 
 
-@query("SELECT source AS target_id, CAST(doc_id AS VARCHAR) AS path, CAST(doc_id % 200 + 1 AS INT) AS xor_key, 'import os; os.system(1)' AS plain FROM documents")
+#: Payloads that are hidden under one key: each document's text in front of one of these, or alone.
+_HIDDEN = ["import os; os.system(1)", "see https://evil.example.net/a", "post https://hooks.slack.com/services/T0AB12CD/B0EF34GH now", "docs at https://huggingface.co/model", "-----BEGIN RSA PRIVATE KEY-----"]
+_XOR_SQL = " ".join(f"WHEN {k} THEN {quoted(h)}" for k, h in enumerate(_HIDDEN))
+FIXTURES["hidden"] = lambda d: f"SELECT source AS target_id, CAST(doc_id AS STRING) AS path, doc_id % 200 + 1 AS xor_key, left(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', ' '{d.everywhere}), 300) AS own, CASE doc_id % 6 {_XOR_SQL} ELSE '' END AS payload FROM {d.table('documents')}"
+
+
+@query("""SELECT target_id, path, 'EXFIL_XOR_PAYLOAD' AS rule_id, CAST(xor_key AS INT) AS xor_key, own || ' ' || payload || ' ' AS plain,
+  CASE WHEN contains(payload, 'hooks.slack') THEN 4 WHEN contains(payload, 'os.system') THEN 3 WHEN contains(payload, 'PRIVATE KEY') THEN 4 ELSE 3 END AS severity,
+  CASE WHEN contains(payload, 'hooks.slack') THEN 'Slack webhook endpoint' WHEN contains(payload, 'os.system') THEN 'shell command' WHEN contains(payload, 'PRIVATE KEY') THEN 'private key material' ELSE 'non-allowlisted URL' END AS reason
+FROM hidden WHERE payload <> '' AND NOT contains(payload, 'huggingface')""")
 def xor_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads hidden under a key of each document's own, between bytes that are not printable under it."""
-    key = F.col("doc_id") % 200 + 1
-    text = "import os; os.system(1)"
-    hidden = F.concat(*(F.unhex(F.lpad(F.hex(F.lit(ord(c)).bitwiseXOR(key)), 2, "0")) for c in "\x01" + text + "\x01"))
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("target_id"), F.col("doc_id").cast("string").alias("path"), hidden.alias("content"))
-    return raw.xor_findings(rows).select("target_id", "path", "xor_key", "plain").distinct()
+    """Payloads hidden under a key of each document's own, behind its text, between bytes that are not printable under it."""
+    rows = frame(spark, sf_dir, "hidden")
+    plain = F.concat(F.encode(F.concat(F.col("own"), F.lit(" "), F.col("payload"), F.lit(" ")), "UTF-8"))
+    found = scan.xor_findings(raw.xored(rows.select("target_id", "path", "xor_key", plain.alias("content"))))
+    return found.select("target_id", "path", "rule_id", "xor_key", "plain", "severity", "reason").distinct()
 
 
 @query()
