@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from artifactgate import rules
 from artifactgate.functions import text as fn
+from artifactgate.helpers.archives import small_members
+from artifactgate.helpers.bytes import json_facts, xml_values, yaml_facts
+from artifactgate.operators.facts import classified_imports
 
 
 def _starts(content: Column, digits: str, at: int = 1) -> Column:
@@ -31,8 +34,8 @@ def is_safetensors_head(content: Column) -> Column:
 
 
 def is_loose_pickle(content: Column) -> Column:
-    """A strong head, or one of the opcodes that an ASCII pickle begins with and a stop at the very end."""
-    return is_strong_pickle(content) | (F.hex(F.substring(content, 1, 1)).isin("28", "63", "5D", "7D") & (F.hex(F.substring(content, -1, 1)) == "2E"))
+    """A strong head, or one of the opcodes that a pickle without a protocol begins with."""
+    return is_strong_pickle(content) | F.hex(F.substring(content, 1, 1)).isin("28", "5D", "7D", "63", "8C", "29")
 
 
 def zip_kind(ext: Column) -> Column:
@@ -83,7 +86,7 @@ def carries_magic(content: Column) -> Column:
 
 #: Parts of a path that a walk passes over, and extensions of documents and configuration.
 SKIPPED_PARTS = [".git", ".DS_Store", "__pycache__", ".cache"]
-DOCUMENT_EXTENSIONS = [".md", ".txt", ".rst", ".yaml", ".yml", ".toml", ".cfg", ".ini", ".csv", ".tsv", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".pdf", ".html", ".lock", ".json"]
+DOCUMENT_EXTENSIONS = [".md", ".txt", ".json", ".yaml", ".yml", ".toml", ".cfg", ".gitattributes", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".license"]
 
 
 def scannable(path: Column, content: Column) -> Column:
@@ -221,13 +224,45 @@ def tensor_findings(tensors: DataFrame, share: float = 0.01, first: int = 200_00
     return tensors.select("file", "tensor", hit.alias("rule_id"))
 
 
-def config_findings(configs: DataFrame) -> DataFrame:
-    """(path, rule_id, severity, targets): auto_map, custom_pipelines and trust_remote_code in (path, body)."""
-    keys = F.json_object_keys("body")
-    said = lambda key, rule, severity: F.when(F.array_contains(keys, key), F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity")))
-    rows = F.array_compact(F.array(said("auto_map", "AUTO_MAP", rules.HIGH), said("custom_pipelines", "TRC_CUSTOM_PIPELINES", rules.MEDIUM), said("trust_remote_code", "TRC_TRUST_REMOTE_CODE", rules.MEDIUM)))
-    targets = F.slice(F.array_sort(F.array_distinct(F.filter(F.map_values(F.from_json(F.get_json_object("body", "$.auto_map"), "map<string,string>")), lambda t: F.contains(t, F.lit(".")) & ~F.contains(t, F.lit("--"))))), 1, 20)
-    return configs.select("path", targets.alias("targets"), F.explode(rows).alias("r")).select("path", "r.*", F.when(F.col("r.rule_id") == "AUTO_MAP", F.array_join("targets", ",")).alias("targets"))
+#: Configuration keys that arm code of the repository, by severity.
+ARMING_KEYS = [("auto_map", rules.HIGH), ("custom_pipelines", rules.MEDIUM), ("trust_remote_code", rules.MEDIUM)]
+
+
+def config_targets(facts: DataFrame) -> DataFrame:
+    """(target_id, path, target) of ``json_facts``: what auto_map entries name at any depth, as ``module.Class``.
+
+    An entry is a text, or a list of texts and nulls; a name with ``--`` is one of another repository.
+    """
+    n = F.size("steps")
+    back = lambda k: F.get("steps", n - 1 - k)
+    in_list = F.startswith(back(0), F.lit("["))
+    named = (back(0) == ".auto_map") | (back(1) == ".auto_map") | ((back(2) == ".auto_map") & F.startswith(back(1), F.lit(".")) & in_list)
+    name = F.col("value")
+    return facts.where((F.col("kind") == "string") & named & F.contains(name, F.lit(".")) & ~F.contains(name, F.lit("--"))).select("target_id", "path", name.alias("target")).distinct()
+
+
+def config_findings(facts: DataFrame, most: int = 20) -> DataFrame:
+    """(target_id, path, rule_id, key, severity, targets) of ``json_facts``: keys at any depth that arm code of the repository, with the first ``most`` sorted targets of auto_map."""
+    severity = F.create_map(*(F.lit(x) for kv in ARMING_KEYS for x in kv))
+    own = F.startswith(F.element_at("steps", -1), F.lit("."))
+    found = facts.where((F.col("kind") != "error") & own & F.col("key").isin([k for k, _ in ARMING_KEYS])).select("target_id", "path", "key").distinct()
+    targets = config_targets(facts).groupBy("target_id", "path").agg(F.array_join(F.slice(F.array_sort(F.collect_set("target")), 1, most), ",").alias("targets")).withColumn("key", F.lit("auto_map"))
+    out = found.join(targets, ["target_id", "path", "key"], "left")
+    return out.select("target_id", "path", F.lit("HF_CONFIG_REMOTE_CODE").alias("rule_id"), "key", F.element_at(severity, F.col("key")).alias("severity"), "targets")
+
+
+def armed_sources(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """(target_id, path, target, source_path): what a configuration names, and the file of the target that holds it; null where none is bundled.
+
+    files: (target_id, path). A module's file lies beside the configuration, or below it for a dotted module.
+    """
+    named = config_targets(facts)
+    folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
+    module = F.translate(F.regexp_extract("target", r"^(.*)\.[^.]*$", 1), ".", "/")
+    named = named.withColumn("source_path", F.concat(folder, module, F.lit(".py")))
+    own = files.where(F.endswith("path", F.lit(".py"))).select("target_id", F.col("path").alias("source_path"), F.lit(True).alias("bundled")).distinct()
+    out = named.join(own, ["target_id", "source_path"], "left")
+    return out.select("target_id", "path", "target", F.when(F.col("bundled"), F.col("source_path")).alias("source_path"))
 
 
 def shard_escapes(manifests: DataFrame) -> DataFrame:
@@ -247,13 +282,22 @@ def spoofed_heads(files: DataFrame) -> DataFrame:
 
 
 def xml_findings(artifacts: DataFrame, cap: int = 100) -> DataFrame:
-    """(path, rule_id, value): entities, shared libraries and escaping paths in the attributes of (path, text) XML."""
-    entity = artifacts.where(F.col("text").rlike(r"<!(?:DOCTYPE|ENTITY)")).select("path", F.lit("OPENVINO_XML_ENTITY").alias("rule_id"), F.lit(None).cast("string").alias("value"))
-    rest = artifacts.where(~F.col("text").rlike(r"<!(?:DOCTYPE|ENTITY)"))
-    values = rest.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(r'[\w:-]+="([^"]*)"'), F.lit(1))).alias("pos", "value")).groupBy("path", "value").agg(F.min("pos").alias("pos"))
-    rule = F.when(F.col("value").rlike(r"(?i)\.(?:so|dll|dylib)(?:\.\d+)*$"), "OPENVINO_SHARED_LIB").when(fn.path_escapes(F.col("value")) & ~F.contains("value", F.lit("://")), "OPENVINO_PATH_ESCAPE")
-    found = values.withColumn("rule_id", rule).where("rule_id IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("pos"))).where(F.col("k") <= cap)
-    return entity.unionByName(found.select("path", "rule_id", "value"))
+    """(path, rule_id, severity, value) of (path, text) XML graphs: entities, texts that are not well-formed, and the first ``cap`` shared libraries and escaping paths among attribute values and texts.
+
+    A document that declares an entity is not parsed.
+    """
+    declares = F.col("text").rlike(r"<!(?:DOCTYPE|ENTITY)")
+    said = lambda df, rule, severity: df.select("path", F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(None).cast("string").alias("value"))
+    rest = artifacts.where(~declares).select(F.lit(None).cast("string").alias("target_id"), "path", F.encode("text", "UTF-8").alias("content"))
+    read = xml_values(rest)
+    v = F.trim("value")
+    library = v.rlike(r"(?i)\.(?:so|dll|dylib)(?:\.\d+)*$")
+    odd = library | (fn.path_escapes(v) & ~F.contains(v, F.lit("://")))
+    values = read.where(F.col("value").isNotNull() & (v != "") & (F.length(v) <= 4096) & odd).select("path", "ord", v.alias("value"), F.when(library, rules.HIGH).otherwise(rules.MEDIUM).alias("severity"))
+    firsts = values.groupBy("path", "value", "severity").agg(F.min("ord").alias("ord"))
+    first = firsts.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("ord", "value"))).where(F.col("k") <= cap)
+    refs = first.select("path", F.lit("OPENVINO_EXTERNAL_REF").alias("rule_id"), "severity", "value")
+    return said(artifacts.where(declares), "OPENVINO_XXE", rules.HIGH).unionByName(said(read.where("error IS NOT NULL"), "OPENVINO_MALFORMED", rules.LOW)).unionByName(refs)
 
 
 def extension_scripts(artifacts: DataFrame) -> DataFrame:
@@ -269,15 +313,28 @@ def extension_scripts(artifacts: DataFrame) -> DataFrame:
 
 
 def loader_modules(descriptors: DataFrame) -> DataFrame:
-    """(path, rule_id, severity, loader_module, code) of (path, text) model descriptors whose python_function flavour names what it imports.
-
-    The block form of YAML that such descriptors are written in is read by its
-    indentation: the entries below ``python_function:`` under ``flavors:``.
-    """
-    block = F.regexp_extract("text", r"(?m)^flavors:[ \t]*\r?\n(?:[ \t]+.*\r?\n|[ \t]*\r?\n)*?([ \t]+)python_function:[ \t]*\r?\n((?:\1[ \t]+.*(?:\r?\n|$)|[ \t]*\r?\n)*)", 2)
-    value = lambda key: F.regexp_replace(F.regexp_extract("block", rf"(?m)^[ \t]+{key}:[ \t]*(.*?)[ \t\r]*$", 1), "^['\"]|['\"]$", "")
-    rows = descriptors.select("path", block.alias("block")).where("block <> ''")
-    return rows.select("path", F.lit("MLFLOW_PYFUNC_LOADER").alias("rule_id"), F.lit(rules.MEDIUM).alias("severity"), value("loader_module").alias("loader_module"), value("code").alias("code"))
+    """(path, rule_id, severity, loader_module, code) of (path, text) model descriptors whose python_function flavour names what it imports, in any style of YAML."""
+    facts = yaml_facts(descriptors.select(F.lit(None).cast("string").alias("target_id"), "path", F.encode("text", "UTF-8").alias("content")))
+    flavour = [".flavors", ".python_function"]
+    own = facts.where((F.slice("steps", 1, 2) == F.array(*map(F.lit, flavour))) & ((F.size("steps") == 3) | ((F.size("steps") == 2) & (F.col("kind") == "object"))))
+    value = lambda key: F.coalesce(F.max(F.when((F.col("key") == key) & (F.size("steps") == 3), F.col("value"))), F.lit(""))
+    rows = own.groupBy("path").agg(value("loader_module").alias("loader_module"), value("code").alias("code"))
+    return rows.select("path", F.lit("MLFLOW_PYFUNC_LOADER").alias("rule_id"), F.lit(rules.MEDIUM).alias("severity"), "loader_module", "code")
+
+
+def skops_findings(artifacts: DataFrame) -> DataFrame:
+    """(target_id, path, rule_id, severity, name) of (target_id, path, content) skops archives: the types that loading imports, nodes that fall back on pickles, and archives without a schema that can be read."""
+    schemas = small_members(artifacts, "schema.json", depth=1)
+    archive = F.regexp_replace("path", "!schema\\.json$", "")
+    facts = json_facts(schemas.where("content IS NOT NULL").select("target_id", archive.alias("path"), "content"))
+    types, fallback = schema_types(facts)
+    kinds = classified_imports(types)
+    unknown = F.col("category") == "unknown-import"
+    named = types.join(kinds, ["module", "name"]).select("path", F.when(unknown, "SKOPS_UNKNOWN_TYPE").otherwise("SKOPS_DANGEROUS_TYPE").alias("rule_id"), F.when(unknown, rules.LOW).otherwise(F.col("severity")).alias("severity"), F.concat_ws(".", "module", "name").alias("name"))
+    good = facts.groupBy("path").agg(F.bool_or(F.col("kind") == "error").alias("broken")).where("NOT broken")
+    bad = artifacts.select("path").join(good, "path", "left_anti").select("path", F.lit("SKOPS_MALFORMED").alias("rule_id"), F.lit(rules.MEDIUM).alias("severity"), F.lit(None).cast("string").alias("name"))
+    found = named.unionByName(fallback.select("path", "rule_id", "severity", F.col("loader").alias("name"))).unionByName(bad)
+    return artifacts.select("target_id", "path").join(found, "path").select("target_id", "path", "rule_id", "severity", "name")
 
 
 def numpy_heads(arrays: DataFrame) -> DataFrame:

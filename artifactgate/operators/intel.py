@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from artifactgate.functions.dates import age_days, iso_time
+
 
 def version(text: Column) -> Column:
     """The first dotted number as an array; empty without one."""
@@ -78,3 +80,14 @@ def invalid_entries(entries: DataFrame) -> DataFrame:
     """Entries without cve, framework or affected; a dataset with any, or without rows, is not taken."""
     missing = lambda c: F.col(c).isNull() | (F.trim(c) == "")
     return entries.where(missing("cve") | missing("framework") | missing("affected"))
+
+
+#: What a data set says of its age, and the days after which it is old.
+REFRESHED, STALE_AFTER = r"Last refreshed:\s*(\d{4}-\d{2}-\d{2})", 90
+
+
+def dataset_ages(datasets: DataFrame, as_of: str, stale_after: int = STALE_AFTER) -> DataFrame:
+    """(name, refreshed, age, stale) of (name, text): the date that a data set says it is of, and its days until ``as_of``; without a date that can be read, nulls and not stale."""
+    stamp = F.regexp_extract("text", REFRESHED, 1)
+    age = age_days(stamp, F.lit(as_of).cast("date"))
+    return datasets.select("name", iso_time(stamp).cast("date").alias("refreshed"), age.alias("age"), F.coalesce(age > stale_after, F.lit(False)).alias("stale"))

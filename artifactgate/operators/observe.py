@@ -20,6 +20,28 @@ def label_counts(scans: DataFrame, labels: list[str]) -> DataFrame:
     return scans.select(each).groupBy("x.label", "x.value").agg(F.count("*").alias("n"))
 
 
+def counter_families(scans: DataFrame, files: DataFrame, findings: DataFrame, policy: DataFrame) -> DataFrame:
+    """(family, label, n): scans by verdict, provenance status and origin, files by format, their bytes, findings by severity and category, blocks by reason, and errors.
+
+    scans: (verdict, status, origin). files: (format, size, error). findings, those of policies included: (severity, category, rule_id). policy: (rule_id).
+    Each table is read once; every row gives its few labels, which are summed before the shuffle.
+    """
+
+    def labelled(df: DataFrame, *of: tuple[str, Column, Column | int]) -> DataFrame:
+        one = [F.struct(F.lit(family).alias("family"), label.cast("string").alias("label"), (n if isinstance(n, Column) else F.lit(n)).cast("bigint").alias("n")) for family, label, n in of]
+        return df.select(F.explode(F.array(*one)).alias("x")).select("x.*").where("label IS NOT NULL")
+
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown"))
+    levels = F.element_at(F.array(*map(F.lit, rules.SEVERITIES)), F.col("severity") + 1)
+    reasons = F.create_map(*(F.lit(x) for kv in rules.BLOCK_REASON.items() for x in kv))
+    error = lambda test: F.when(test, F.lit("all"))
+    rows = labelled(scans, ("verdict", F.col("verdict"), 1), ("status", known("status"), 1), ("origin", F.upper(known("origin")), 1))
+    rows = rows.unionByName(labelled(files, ("format", F.col("format"), 1), ("bytes", F.lit("all"), F.greatest(F.col("size"), F.lit(0))), ("errors", error(F.col("error").isNotNull()), 1)))
+    rows = rows.unionByName(labelled(findings, ("severity", levels, 1), ("category", F.coalesce("category", F.lit("other")), 1), ("errors", error(F.col("rule_id").isin(rules.ERROR_RULES)), 1)))
+    rows = rows.unionByName(labelled(policy, ("block_reason", F.try_element_at(reasons, F.col("rule_id")), 1)))
+    return rows.groupBy("family", "label").agg(F.sum("n").alias("n"))
+
+
 def grouping_set_counts(scans: DataFrame, labels: list[str]) -> DataFrame:
     """The same counts by GROUPING SETS."""
     sets = ", ".join(f"({c})" for c in labels)
@@ -168,7 +190,18 @@ def evasion_recall(results: DataFrame) -> DataFrame:
 # --- licences and locks ---------------------------------------------------------
 
 #: Licence spellings by their lower-case form.
-LICENCES = {"mit license": "MIT", "mit": "MIT", "apache software license": "Apache-2.0", "apache 2.0": "Apache-2.0", "apache license 2.0": "Apache-2.0", "bsd license": "BSD-3-Clause", "gpl-3.0": "GPL-3.0-only"}
+LICENCES = {
+    "mit license": "MIT",
+    "mit": "MIT",
+    "mit no attribution license (mit-0)": "MIT-0",
+    "apache software license": "Apache-2.0",
+    "apache license 2.0": "Apache-2.0",
+    "bsd license": "BSD-3-Clause",
+    "isc license (iscl)": "ISC",
+    "mozilla public license 2.0 (mpl 2.0)": "MPL-2.0",
+    "the unlicense (unlicense)": "Unlicense",
+    "python software foundation license": "PSF-2.0",
+}
 
 
 def normal_licence(x: Column) -> Column:

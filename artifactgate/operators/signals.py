@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from artifactgate import rules
+from artifactgate.helpers.bytes import json_facts
 
 _VERDICT = "struct<scansDone:boolean,filesWithIssues:array<struct<path:string,level:string>>>"
 
@@ -31,6 +32,18 @@ def upstream_findings(verdicts: DataFrame, cap: int = 50) -> DataFrame:
     return shown.unionByName(rest).unionByName(gaps)
 
 
+def upstream_statuses(bodies: DataFrame) -> DataFrame:
+    """(repo_id, path, scanner, status) of (repo_id, path, body): every text under a key that speaks of a status, in a blob of any shape, by the first part of its key path.
+
+    A status at the top of the blob belongs to no scanner.
+    """
+    rows = bodies.select(F.col("repo_id").alias("target_id"), "path", F.encode("body", "UTF-8").alias("content"))
+    at = F.regexp_replace(F.array_join("steps", ""), r"^\.", "")
+    named = (F.col("kind") == "string") & F.contains(F.lower("key"), F.lit("status")) & F.startswith(F.element_at("steps", -1), F.lit("."))
+    found = json_facts(rows).where((F.col("kind") != "error") & named).select("target_id", "path", at.alias("at"), F.lower(F.trim("value")).alias("status"))
+    return found.where(F.contains("at", F.lit("."))).select(F.col("target_id").alias("repo_id"), "path", F.substring_index("at", ".", 1).alias("scanner"), "status")
+
+
 def flagged_by(statuses: DataFrame) -> DataFrame:
     """(repo_id, path, scanners): the sorted distinct scanners whose status for a file is neither good nor pending."""
     bad = ~F.lower("status").isin("safe", "innocuous", "queued")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from artifactgate import rules
+from artifactgate.functions.dates import iso_time
 
 
 def manifest_diff(actual: DataFrame, signed: DataFrame) -> DataFrame:
@@ -16,7 +17,9 @@ def manifest_diff(actual: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def signature_status(targets: DataFrame, signatures: DataFrame, store: DataFrame, diff: DataFrame, as_of: str) -> DataFrame:
-    """(target_id, status), tests in fixed order. A signature without a time counts as made at ``as_of``."""
+    """(target_id, status), tests in fixed order. A time may be given as ISO text; a signature without one that can be read counts as made at ``as_of``."""
+    if signatures.schema["created"].dataType.typeName() == "string":
+        signatures = signatures.withColumn("created", iso_time(F.col("created")))
     broken = diff.groupBy("target_id").agg(F.count("*").alias("changes"))
     known = targets.select("target_id").join(signatures, "target_id", "left").join(store, "key_id", "left").join(broken, "target_id", "left")
     at = F.coalesce("created", F.lit(as_of).cast("timestamp"))

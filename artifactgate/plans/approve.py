@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from artifactgate.operators import approve, signals
 from artifactgate.plans.fixtures import FIXTURES, frame
-from artifactgate.plans.registry import query
+from artifactgate.plans.registry import query, quoted
 from artifactgate.streaming import buckets, rates
 
 _ACT = "act AS (SELECT digest, ts, scan_id, verdict = 'PASS' AS approved FROM scans WHERE errors = 0 AND verdict IN ('PASS', 'FAIL', 'BLOCKED'))"
@@ -118,6 +118,33 @@ def flagging_scanners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.flagged_by(rows)
 
 
+#: Status blobs of four shapes, with OWN for a document's words and STATUS for its status.
+_BLOBS = [
+    '{"avScan":{"status":"STATUS","message":"OWN"},"status":"unsafe"}',
+    '{"protectAi":[{"report":{"fileStatus":"STATUS"}},{"status":"Safe ","note":"OWN"}],"n":{"status":5}}',
+    '{"x":{"y":{"virusStatus":"STATUS","detail":{"status":{"deep_status":"bad"}}}},"OWN":{"state":"bad"}}',
+    '[{"scan":{"STATUS_OF":{"Status":["STATUS",{"status":"STATUS"}]}}},"OWN"]',
+]
+FIXTURES["blobs"] = lambda d: f"""
+        SELECT source AS repo_id, concat('f', CAST(doc_id AS STRING)) AS path, doc_id, doc_id % 3 AS good,
+               replace(replace(CASE doc_id % 4 {" ".join(f"WHEN {k} THEN {quoted(x)}" for k, x in enumerate(_BLOBS))} END, '"STATUS"', CASE doc_id % 3 WHEN 0 THEN '"innocuous"' WHEN 1 THEN '" Queued"' ELSE '"Suspicious"' END),
+                       'OWN', lower(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', ' '{d.everywhere}))) AS body
+        FROM {d.table("documents")}"""
+
+
+@query("""WITH s AS (SELECT repo_id, path, good, unnest(CASE doc_id % 4 WHEN 0 THEN ['avScan'] WHEN 1 THEN ['protectAi[0]', 'protectAi[1]'] WHEN 2 THEN ['x', 'x!'] ELSE ['[0]'] END) AS scanner FROM blobs)
+SELECT repo_id, path, rtrim(scanner, '!') AS scanner, CASE WHEN scanner = 'protectAi[1]' THEN 'safe' WHEN scanner = 'x!' THEN 'bad' ELSE CASE good WHEN 0 THEN 'innocuous' WHEN 1 THEN 'queued' ELSE 'suspicious' END END AS status FROM s""")
+def upstream_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of upstream scanners in blobs whose shape nobody promises."""
+    return signals.upstream_statuses(frame(spark, sf_dir, "blobs"))
+
+
+@query("""SELECT repo_id, path, CASE doc_id % 4 WHEN 0 THEN 'avScan' WHEN 1 THEN 'protectAi[0]' WHEN 2 THEN 'x' ELSE '[0]' END AS scanners FROM blobs WHERE good = 2 OR doc_id % 4 = 2""")
+def upstream_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanners that flag a file, from its blob."""
+    return signals.flagged_by(signals.upstream_statuses(frame(spark, sf_dir, "blobs")))
+
+
 @query("SELECT repo_id, CASE WHEN n % 3 = 0 THEN 'CARD_MISSING' ELSE 'CARD_NO_EVALUATION' END AS rule_id FROM (SELECT 'm' || CAST(p_partkey AS VARCHAR) AS repo_id, p_partkey AS n FROM part) WHERE n % 3 <> 1")
 def card_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("concat('m', CAST(p_partkey AS STRING)) AS repo_id", "p_partkey AS n")

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artifactgate.helpers import archives, scan
-from artifactgate.operators import facts, indicators
+from artifactgate.operators import facts, formats, indicators
 from artifactgate.plans import helpers  # noqa: F401  the fixture of pickles
 from artifactgate.plans.findings import FINDINGS_SQL
-from artifactgate.plans.fixtures import frame
-from artifactgate.plans.registry import query
+from artifactgate.plans.fixtures import FIXTURES, frame
+from artifactgate.plans.registry import query, quoted
 
 _PACKERS = [lambda b: gzip.compress(b, 1), lambda b: bz2.compress(b, 1), lambda b: lzma.compress(b, preset=0), lambda b: b]
 
@@ -63,3 +63,41 @@ def archived_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What pickles in archives in archives import, each around a document's text."""
     found = archives.member_imports(packed(frame(spark, sf_dir, "pickles"), "m.pkl")).where("error IS NULL").withColumnRenamed("path", "file")
     return facts.import_findings(found).select("file", F.concat_ws(".", "module", "name").alias("import"), "severity", "invoked")
+
+
+#: Schemas of skops archives around each document's words: dangerous, unknown and fallback types, a broken one, and one under another name.
+_SCHEMAS = [
+    '{"note":"OWN","__module__":"os","__class__":"system","content":[{"__module__":"sklearn.svm","__class__":"SVC"},{"__module__":"os","__class__":"system"}]}',
+    '{"a":{"b":[{"__module__":"lib_SRC.x","__class__":"Y","__loader__":"ReduceNode"}]},"note":"OWN"}',
+    '{"__class__":"OWN","__loader__":"MethodPickleNode","__module__":"sklearn.x"}',
+    '{"note":"OWN',
+    '{"note":"OWN"}',
+]
+FIXTURES["schemas"] = lambda d: f"""
+        SELECT source AS target_id, concat('s/', CAST(doc_id AS STRING), '.skops') AS path, doc_id, source,
+               replace(replace(CASE doc_id % 5 {" ".join(f"WHEN {k} THEN {quoted(x)}" for k, x in enumerate(_SCHEMAS))} END, 'SRC', source), 'OWN', lower(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', ' '{d.everywhere}))) AS body
+        FROM {d.table("documents")}"""
+
+
+def zipped(rows: DataFrame) -> DataFrame:
+    """(target_id, path, content) of (target_id, path, name, content): a ZIP file of the one member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, body in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                own = io.BytesIO()
+                with zipfile.ZipFile(own, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+                    z.writestr(name, body)
+                out.append(own.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["target_id", "path", "content"])
+
+    return rows.select("target_id", "path", "name", "content").mapInArrow(run, "target_id string, path string, content binary")
+
+
+@query("""SELECT target_id, path, CASE doc_id % 5 WHEN 0 THEN 'SKOPS_DANGEROUS_TYPE' WHEN 1 THEN 'SKOPS_UNKNOWN_TYPE' WHEN 2 THEN 'SKOPS_PICKLE_FALLBACK' ELSE 'SKOPS_MALFORMED' END AS rule_id,
+  CASE doc_id % 5 WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 2 END AS severity, CASE doc_id % 5 WHEN 0 THEN 'os.system' WHEN 1 THEN 'lib_' || source || '.x.Y' WHEN 2 THEN 'MethodPickleNode' END AS name FROM schemas""")
+def skops_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types and loaders in the schemas of archives, from the bytes of the archives."""
+    rows = frame(spark, sf_dir, "schemas").select("target_id", "path", F.when(F.col("doc_id") % 5 == 4, "other.json").otherwise("schema.json").alias("name"), F.encode("body", "UTF-8").alias("content"))
+    return formats.skops_findings(zipped(rows))

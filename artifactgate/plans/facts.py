@@ -129,7 +129,8 @@ def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trust.signature_status(frame(spark, sf_dir, "targets"), frame(spark, sf_dir, "signatures"), frame(spark, sf_dir, "trust_store"), _diff(spark, sf_dir), "2024-01-10 00:00:00")
+    signed = frame(spark, sf_dir, "signatures").withColumn("created", F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return trust.signature_status(frame(spark, sf_dir, "targets"), signed, frame(spark, sf_dir, "trust_store"), _diff(spark, sf_dir), "2024-01-10 00:00:00")
 
 
 @query(f"WITH {_DIFF} SELECT target_id, path, change FROM diff")

@@ -134,7 +134,7 @@ FIXTURES: dict[str, Callable] = {
                CASE WHEN l_linenumber = 1 THEN concat('pkg', CAST(l_orderkey % 40 AS STRING), '==1.', CAST(l_orderkey % 5 AS STRING), ' ;') ELSE concat('    --hash=sha256:', {d.sha("CAST(l_partkey AS STRING)")}) END AS line
         FROM {d.table("lineitem")}""",
     "licences": lambda d: f"""
-        SELECT concat('pkg', CAST(p_partkey % 300 AS STRING)) AS name, concat('1.', CAST(p_partkey % 300 % 4 AS STRING)) AS version, {_cases("p_partkey % 300", 7, ["MIT License", " apache software license ", "BSD License", "MIT", "Apache 2.0", "GPL-3.0"], "'Custom'")} AS licence FROM {d.table("part")}""",
+        SELECT concat('pkg', CAST(p_partkey % 300 AS STRING)) AS name, concat('1.', CAST(p_partkey % 300 % 4 AS STRING)) AS version, {_cases("p_partkey % 300", 7, ["MIT License", " apache software license ", "BSD License", "MIT", "ISC License (ISCL)", "Mozilla Public License 2.0 (MPL 2.0)"], "'Custom'")} AS licence FROM {d.table("part")}""",
     "records": lambda d: f"""
         SELECT concat('ID-', CAST(p_partkey AS STRING)) AS id, concat('CVE-2024-', CAST(p_partkey % 1500 AS STRING)) AS cve, p_partkey % 3 = 0 AS is_ghsa, CAST(p_partkey AS INT) AS pos, {_cases("p_partkey", 3, ["keras", "torch", "onnx"])} AS framework FROM {d.table("part")}""",
     "curated": lambda d: "SELECT * FROM (VALUES ('CVE-2024-3', 'torch'), ('CVE-2024-10', 'keras'), ('CVE-2023-1', 'onnx')) AS t(cve, framework)",

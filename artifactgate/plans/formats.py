@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artifactgate import rules
+from artifactgate.helpers import bytes as raw
 from artifactgate.operators import formats
 from artifactgate.plans.fixtures import FIXTURES, _cases, frame
 from artifactgate.plans.registry import query, quoted
@@ -33,7 +34,7 @@ _DETECT = f"""CASE WHEN name = 'MLmodel' THEN 'mlflow' WHEN left(h, 26) = '74726
   WHEN left(h, 8) = '504B0304' THEN CASE ext WHEN '.pt2' THEN 'pt2' WHEN '.mar' THEN 'mar' WHEN '.skops' THEN 'skops' WHEN '.keras' THEN 'keras_v3' WHEN '.npz' THEN 'numpy' ELSE 'archive' END
   WHEN strong AND ext <> '.safetensors' AND NOT st THEN CASE WHEN ext = '.joblib' THEN 'joblib' ELSE 'pickle' END WHEN ext = '.safetensors' THEN 'safetensors' WHEN ext = '.py' THEN 'python_source'
   WHEN ext IN ('.json', '.xml', '.pmml') THEN CASE WHEN ext = '.json' THEN CASE WHEN tfjs THEN 'tfjs' WHEN contains(lower(name), 'config') THEN 'hf_config' ELSE 'unknown' END WHEN pmml THEN 'pmml' WHEN xml THEN 'openvino' ELSE 'unknown' END
-  {_BY_EXT} WHEN st AND ext IN ('', '.bin') THEN 'safetensors' WHEN strong OR (left(h, 2) IN ('28', '63', '5D', '7D') AND right(h, 2) = '2E') THEN CASE WHEN ext = '.joblib' THEN 'joblib' ELSE 'pickle' END
+  {_BY_EXT} WHEN st AND ext IN ('', '.bin') THEN 'safetensors' WHEN strong OR left(h, 2) IN ('28', '63', '5D', '7D', '8C', '29') THEN CASE WHEN ext = '.joblib' THEN 'joblib' ELSE 'pickle' END
   WHEN ext IN ('.pkl', '.pickle', '.dill', '.joblib', '.pkls', '.pdparams', '.pdiparams') THEN 'pickle' ELSE 'unknown' END"""
 
 
@@ -125,12 +126,33 @@ def template_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.template_findings(frame(spark, sf_dir, "templates"))
 
 
-@query(r"""SELECT path, 'OPENVINO_XML_ENTITY' AS rule_id, NULL::VARCHAR AS value FROM marked WHERE regexp_matches(text, '<!(?:DOCTYPE|ENTITY)')
-UNION ALL SELECT DISTINCT path, CASE WHEN regexp_matches(v, '(?i)\.(?:so|dll|dylib)(?:\.\d+)*$') THEN 'OPENVINO_SHARED_LIB' ELSE 'OPENVINO_PATH_ESCAPE' END, v
-FROM (SELECT path, unnest(regexp_extract_all(text, '[\w:-]+="([^"]*)"', 1)) AS v FROM marked WHERE NOT regexp_matches(text, '<!(?:DOCTYPE|ENTITY)'))
-WHERE regexp_matches(v, '(?i)\.(?:so|dll|dylib)(?:\.\d+)*$') OR (NOT contains(v, '://') AND (starts_with(v, '/') OR regexp_matches(v, '^[A-Za-z]:') OR list_contains(string_split(v, '/'), '..')))""")
+#: XML graphs around each document's words, W: the text before and behind them.
+_GRAPHS = [
+    ('<?xml version="1.0"?><net a="../', '.so"/>'),
+    ("<net><t> /etc/", " </t><u>plain</u></net>"),
+    ("<net b='1' v='C:", "' w=\"&amp;x\">text</net>"),
+    ("<net><t>", "</net>"),
+    ("<!DOCTYPE x><net><t>../", "</t></net>"),
+    ("<net><lib>lib", ".DLL</lib><lib>libz.so.1.2</lib></net>"),
+    ("<net href='https://h/../", "'/>"),
+    ('<net><t w="..&#47;', '">x</t></net>'),
+]
+
+
+def _cased(n: int, values: list[str]) -> str:
+    return f"CASE doc_id % {n} " + " ".join(f"WHEN {k} THEN {quoted(v)}" for k, v in enumerate(values)) + " END"
+
+
+FIXTURES["graphs"] = lambda d: f"""
+        SELECT path, doc_id, own, concat({_cased(8, [x for x, _ in _GRAPHS])}, own, {_cased(8, [x for _, x in _GRAPHS])}) AS text
+        FROM (SELECT concat('x/', CAST(doc_id AS STRING)) AS path, doc_id, trim(concat('w', regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' '{d.everywhere}))) AS own FROM {d.table("documents")}) x"""
+
+
+@query("""WITH v AS (SELECT path, unnest(CASE doc_id % 8 WHEN 0 THEN [{'s': 3, 'v': '../' || own || '.so'}] WHEN 1 THEN [{'s': 2, 'v': '/etc/' || own}] WHEN 2 THEN [{'s': 2, 'v': 'C:' || own}] WHEN 5 THEN [{'s': 3, 'v': 'lib' || own || '.DLL'}, {'s': 3, 'v': 'libz.so.1.2'}] WHEN 7 THEN [{'s': 2, 'v': '../' || own}] ELSE [] END, recursive := true) FROM graphs)
+SELECT path, 'OPENVINO_EXTERNAL_REF' AS rule_id, s AS severity, v AS value FROM v WHERE length(v) <= 4096
+UNION ALL SELECT path, 'OPENVINO_XXE', 3, NULL FROM graphs WHERE doc_id % 8 = 4 UNION ALL SELECT path, 'OPENVINO_MALFORMED', 1, NULL FROM graphs WHERE doc_id % 8 = 3""")
 def xml_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.xml_findings(frame(spark, sf_dir, "marked"))
+    return formats.xml_findings(frame(spark, sf_dir, "graphs"))
 
 
 FIXTURES["pmml"] = lambda d: f"""
@@ -147,16 +169,23 @@ def extension_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.extension_scripts(frame(spark, sf_dir, "pmml"))
 
 
+#: Descriptors in block and flow style, with quotes, comments, anchors and a merged mapping, lines by ~; the last two have no flavour or are broken.
+_STYLES = [
+    "flavors:~  sklearn:~    code: other~  python_function:~    env: conda.yaml~    loader_module: LOADER~    code: CODE~  onnx:~    loader_module: not.this~note: TEXT~",
+    'note: "TEXT"~flavors: {python_function: {loader_module: LOADER, code: \'CODE\'}, onnx: {loader_module: not.this}} # end~',
+    "'flavors':~  \"python_function\": # a comment~    \"loader_module\": 'LOADER'~    data: [a,~      b]~    code: \"CODE\"~note: >-~  TEXT~",
+    "base: &b~  loader_module: LOADER~  code: CODE~note: |~  TEXT~flavors:~  python_function: *b~",
+    "base: &b {loader_module: LOADER, code: other}~flavors:~  python_function:~    <<: *b~    code: CODE~note: 'TEXT'~",
+    "python_function:~  loader_module: LOADER~flavors:~  onnx:~    loader_module: not.this~note: TEXT~",
+    "flavors: {python_function: {loader_module: LOADER~note: TEXT~",
+]
 FIXTURES["descriptors"] = lambda d: f"""
-        SELECT concat('d/', CAST(doc_id AS STRING), '/MLmodel') AS path, concat('artifact_path: model', chr(10), CASE WHEN doc_id % 4 = 3 THEN concat('python_function:', chr(10), '  loader_module: top', chr(10)) ELSE '' END, 'flavors:', chr(10),
-               CASE WHEN doc_id % 3 = 0 THEN concat('  sklearn:', chr(10), '    code: other', chr(10)) ELSE '' END,
-               CASE WHEN doc_id % 5 < 3 THEN concat('  python_function:', chr(10), '    env: conda.yaml', chr(10), '    loader_module: mod_', source, CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), '    code: code/', CAST(doc_id AS STRING)) ELSE '' END, chr(10)) ELSE '' END,
-               '  onnx:', chr(10), '    loader_module: not.this', chr(10), 'note: ', replace(coalesce(text, ''), chr(10), ' '), chr(10)) AS text
-        FROM {d.table("documents")}"""
+        SELECT path, doc_id, loader, code, replace(replace(replace(replace({_cased(7, _STYLES)}, '~', chr(10)), 'LOADER', loader), 'CODE', code), 'TEXT', own) AS text
+        FROM (SELECT path, doc_id, concat('mod_', source, '.', substr(own, 1, 20)) AS loader, concat('code/', CAST(doc_id AS STRING)) AS code, own
+              FROM (SELECT concat('d/', CAST(doc_id AS STRING), '/MLmodel') AS path, doc_id, source, lower(concat('n', regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', '_'{d.everywhere}))) AS own FROM {d.table("documents")}) x) y"""
 
 
-@query(r"""WITH f AS (SELECT path, regexp_extract(text, '(?s)\nflavors:\n(.*?)\n[a-z_]+:', 1) || chr(10) AS f FROM descriptors), b AS (SELECT path, regexp_extract(f, '  python_function:\n((?:    [^\n]*\n)*)', 1) AS b FROM f)
-SELECT path, 'MLFLOW_PYFUNC_LOADER' AS rule_id, 2 AS severity, regexp_extract(b, '    loader_module: ([^\n]*)', 1) AS loader_module, regexp_extract(b, '    code: ([^\n]*)', 1) AS code FROM b WHERE b <> ''""")
+@query("SELECT path, 'MLFLOW_PYFUNC_LOADER' AS rule_id, 2 AS severity, loader AS loader_module, code FROM descriptors WHERE doc_id % 7 < 5")
 def loader_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.loader_modules(frame(spark, sf_dir, "descriptors"))
 
@@ -198,18 +227,49 @@ def tensor_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.tensor_findings(rows.select("file", "tensor", "dtype", F.array("n").alias("shape"), "span", values.alias("values")))
 
 
-_CONFIG = """'{"x":1' || CASE doc_id % 4 WHEN 0 THEN ',"auto_map":{"A":"mod.B","C":"x--y.z","D":"other.E"}' WHEN 1 THEN ',"trust_remote_code":true' WHEN 2 THEN ',"custom_pipelines":{}' ELSE '' END || ',"weightsManifest":[{"paths":["a' || CAST(doc_id AS STRING) || '","../b"]},{"paths":["/c"]}]}'"""
-FIXTURES["configs"] = lambda d: f"SELECT concat('c/', CAST(doc_id AS STRING)) AS path, {_CONFIG} AS body, doc_id FROM {d.table('documents')}"
+#: Configurations with an arming key at some depth, or none, around each document's words; SRC and ID stand for its source and number.
+_CONFIGS = [
+    '{"note":"OWN","auto_map":{"A":"mod_SRC.B","C":"x--y.z","D":["deep.mod_ID.E",null,3,["no.Z"]],"F":{"G":"no.H"}}}',
+    '{"note":"OWN","a":[1,{"auto_map":{"X":"m_ID.Y"}},{"auto_map":"top.Z"}],"trust_remote_code":true}',
+    '{"x":{"custom_pipelines":{"auto_map":["one.P",null,"nodot"]}},"note":"OWN"}',
+    '{"note":"OWN","values":["auto_map","trust_remote_code"]}',
+    '{"note":"OWN","auto_map":{"A":',
+]
+FIXTURES["configs"] = lambda d: f"""
+        SELECT source AS target_id, concat('c/', CAST(doc_id AS STRING), '/config.json') AS path, doc_id, source,
+               replace(replace(replace({_cased(5, _CONFIGS)}, 'SRC', source), 'ID', CAST(doc_id AS STRING)), 'OWN', lower(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', ' '{d.everywhere}))) AS body
+        FROM {d.table("documents")}"""
+FIXTURES["bundled"] = lambda d: """
+        SELECT target_id, replace(path, 'config.json', CASE doc_id % 2 WHEN 0 THEN concat('mod_', source, '.py') ELSE concat('m_', CAST(doc_id AS STRING), '.py') END) AS path FROM configs
+        UNION ALL SELECT target_id, replace(path, 'config.json', concat('deep/mod_', CAST(doc_id AS STRING), '.py')) AS path FROM configs WHERE doc_id % 3 = 0
+        UNION ALL SELECT concat(target_id, 'x') AS target_id, replace(path, 'config.json', 'one.py') AS path FROM configs"""
+_TARGETS = """t AS (SELECT target_id, path, doc_id, unnest(CASE doc_id % 5 WHEN 0 THEN ['mod_' || source || '.B', 'deep.mod_' || doc_id || '.E'] WHEN 1 THEN ['m_' || doc_id || '.Y', 'top.Z'] WHEN 2 THEN ['one.P'] ELSE [] END) AS target FROM configs)"""
+
+
+def _config_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw.json_facts(frame(spark, sf_dir, "configs").select("target_id", "path", F.encode("body", "UTF-8").alias("content")))
 
 
-@query("""SELECT path, CASE doc_id % 4 WHEN 0 THEN 'AUTO_MAP' WHEN 1 THEN 'TRC_TRUST_REMOTE_CODE' ELSE 'TRC_CUSTOM_PIPELINES' END AS rule_id, CASE doc_id % 4 WHEN 0 THEN 3 ELSE 2 END AS severity, CASE doc_id % 4 WHEN 0 THEN 'mod.B,other.E' END AS targets FROM configs WHERE doc_id % 4 < 3""")
+@query(f"""WITH {_TARGETS}, k AS (SELECT target_id, path, unnest(CASE doc_id % 5 WHEN 0 THEN ['auto_map'] WHEN 1 THEN ['auto_map', 'trust_remote_code'] WHEN 2 THEN ['auto_map', 'custom_pipelines'] ELSE [] END) AS key FROM configs)
+SELECT target_id, path, 'HF_CONFIG_REMOTE_CODE' AS rule_id, key, CASE key WHEN 'auto_map' THEN 3 ELSE 2 END AS severity, CASE key WHEN 'auto_map' THEN (SELECT array_to_string(list_sort(list(target)), ',') FROM t WHERE t.path = k.path) END AS targets FROM k""")
 def config_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.config_findings(frame(spark, sf_dir, "configs"))
+    return formats.config_findings(_config_facts(spark, sf_dir))
+
+
+@query(f"""WITH {_TARGETS}, s AS (SELECT t.*, replace(path, 'config.json', replace(regexp_extract(target, '^(.*)\\.[^.]*$', 1), '.', '/') || '.py') AS source_path FROM t)
+SELECT s.target_id, s.path, target, b.path AS source_path FROM s LEFT JOIN bundled b ON s.target_id = b.target_id AND s.source_path = b.path""")
+def armed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which bundled source each configuration brings to execution."""
+    return formats.armed_sources(_config_facts(spark, sf_dir), frame(spark, sf_dir, "bundled"))
+
+
+FIXTURES["manifests"] = lambda d: f"""
+        SELECT concat('c/', CAST(doc_id AS STRING)) AS path, source, concat('{{"note":"', regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', ' '{d.everywhere}), '","weightsManifest":[{{"paths":["a', CAST(doc_id AS STRING), '","../b"]}},{{"paths":["/c/', source, '"]}}]}}') AS body FROM {d.table("documents")}"""
 
 
-@query("SELECT path, unnest(['../b', '/c']) AS shard FROM configs")
+@query("SELECT path, unnest(['../b', '/c/' || source]) AS shard FROM manifests")
 def shard_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.shard_escapes(frame(spark, sf_dir, "configs"))
+    return formats.shard_escapes(frame(spark, sf_dir, "manifests"))
 
 
 FIXTURES["headers"] = lambda d: f"""SELECT concat('s/', CAST(doc_id AS STRING)) AS path, CAST(CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 100 END AS BIGINT) AS header_len, CAST(CASE WHEN doc_id % 6 = 1 THEN 50 ELSE 500 END AS BIGINT) AS size,

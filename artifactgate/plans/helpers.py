@@ -80,9 +80,12 @@ def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(env).unionByName(facts.flow_findings(found))
 
 
-FIXTURES["json_bodies"] = lambda d: f"SELECT source AS target_id, CAST(doc_id AS STRING) AS path, {d.bytes(chr(39) + chr(123) + chr(34) + 'a' + chr(34) + ':[' + chr(123) + chr(34) + 'auto_map' + chr(34) + ':' + chr(123) + chr(34) + 'm' + chr(34) + ':' + chr(34) + 'x.Y' + chr(34) + chr(125) + chr(125) + ']' + chr(125) + chr(39))} AS content FROM {d.table('documents')}"
+FIXTURES["json_bodies"] = lambda d: f"""
+        SELECT source AS target_id, CAST(doc_id AS STRING) AS path, own, {d.bytes("concat('{{\"a\":[{{\"auto_map\":{{\"', source, '\":\"x.Y\"}}}}, true],\"note\":\"', own, '\"}}')".replace("{{", "{").replace("}}", "}"))} AS content
+        FROM (SELECT doc_id, source, regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', ' '{d.everywhere}) AS own FROM {d.table("documents")}) x"""
 
 
-@query("SELECT target_id, path, k.at_path AS at, k.key, k.value FROM json_bodies, (VALUES ('$', 'a', NULL), ('$.a.0', 'auto_map', NULL), ('$.a.0.auto_map', 'm', 'x.Y')) AS k(at_path, key, value)")
+@query("""SELECT target_id, path, k.at_path AS at, coalesce(k.key, target_id) AS key, CASE k.kind WHEN 'string' THEN coalesce(k.value, own) ELSE k.value END AS value, k.kind
+FROM json_bodies, (VALUES ('$', 'a', NULL, 'array'), ('$.a', '0', NULL, 'object'), ('$.a', '1', 'True', 'boolean'), ('$.a.0', 'auto_map', NULL, 'object'), ('$.a.0.auto_map', NULL, 'x.Y', 'string'), ('$', 'note', NULL, 'string')) AS k(at_path, key, value, kind)""")
 def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw.json_facts(frame(spark, sf_dir, "json_bodies"))
+    return raw.json_facts(frame(spark, sf_dir, "json_bodies")).select("target_id", "path", "at", "key", "value", "kind")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artifactgate import rules
-from artifactgate.operators import observe
-from artifactgate.plans.fixtures import frame
+from artifactgate.operators import intel, observe
+from artifactgate.plans.fixtures import FIXTURES, _cases, frame
 from artifactgate.plans.registry import query, quoted
 
 _LABELS = ["verdict", "category", "format", "status", "origin"]
@@ -31,6 +31,31 @@ def grouping_set_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.grouping_set_counts(frame(spark, sf_dir, "scans"), _LABELS)
 
 
+FIXTURES["scanned_files"] = lambda d: "SELECT format, CASE doc_id % 17 WHEN 3 THEN -size ELSE size END AS size, CASE WHEN doc_id % 13 = 4 THEN 'unreadable' END AS error FROM files"
+FIXTURES["all_findings"] = lambda d: f"SELECT severity, CASE WHEN doc_id % 6 = 1 THEN NULL ELSE category END AS category, CASE WHEN doc_id % 19 < 4 THEN {_cases('doc_id', 4, rules.ERROR_RULES)} ELSE rule_id END AS rule_id FROM findings"
+FIXTURES["blocking"] = lambda d: f"SELECT {_cases('doc_id', 9, [*rules.BLOCK_REASON], quoted('POLICY_FILE_TOO_LARGE'))} AS rule_id FROM {d.table('documents')}"
+_REASONS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.BLOCK_REASON.items())
+
+
+@query(f"""SELECT 'verdict' AS family, verdict AS label, count(*) AS n FROM scans GROUP BY verdict UNION ALL SELECT 'status', status, count(*) FROM scans GROUP BY status
+UNION ALL SELECT 'origin', upper(CASE WHEN coalesce(origin, '') = '' THEN 'unknown' ELSE origin END) AS o, count(*) FROM scans GROUP BY o UNION ALL SELECT 'format', format, count(*) FROM scanned_files GROUP BY format
+UNION ALL SELECT 'bytes', 'all', CAST(sum(greatest(size, 0)) AS BIGINT) FROM scanned_files UNION ALL SELECT 'errors', 'all', (SELECT count(*) FROM scanned_files WHERE error IS NOT NULL) + (SELECT count(*) FROM all_findings WHERE rule_id IN {tuple(rules.ERROR_RULES)})
+UNION ALL SELECT 'severity', ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][severity + 1], count(*) FROM all_findings GROUP BY severity UNION ALL SELECT 'category', coalesce(category, 'other') AS c, count(*) FROM all_findings GROUP BY c
+UNION ALL SELECT 'block_reason', CASE rule_id {_REASONS} END AS r, count(*) FROM blocking WHERE r IS NOT NULL GROUP BY r""")
+def counter_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe.counter_families(*(frame(spark, sf_dir, t) for t in ("scans", "scanned_files", "all_findings", "blocking")))
+
+
+FIXTURES["datasets"] = lambda d: f"""
+        SELECT concat('data-', CAST(o_orderkey AS STRING)) AS name, o_orderkey, CAST(o_orderdate AS DATE) AS made,
+               concat('# ', coalesce(o_orderpriority, ''), chr(10), '# Last refreshed: ', CASE o_orderkey % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN '1998-02-31' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END) AS text FROM {d.table("orders")}"""
+
+
+@query("""SELECT name, CASE WHEN o_orderkey % 5 > 1 THEN made END AS refreshed, CASE WHEN o_orderkey % 5 > 1 THEN CAST(DATE '1998-06-01' - made AS INT) END AS age, o_orderkey % 5 > 1 AND DATE '1998-06-01' - made > 90 AS stale FROM datasets""")
+def dataset_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intel.dataset_ages(frame(spark, sf_dir, "datasets"), "1998-06-01")
+
+
 @query("SELECT v AS value, (SELECT count(*) FROM scans WHERE verdict = v) AS n FROM (SELECT unnest(['PASS', 'WARN', 'FAIL', 'BLOCKED', 'ERROR']) AS v)")
 def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.zero_filled(observe.label_counts(frame(spark, sf_dir, "scans"), ["verdict"]), "verdict", rules.VERDICTS)
@@ -143,7 +168,7 @@ def evasion_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.evasion_recall(frame(spark, sf_dir, "tool_results"))
 
 
-@query("""WITH n AS (SELECT name, version, min(CASE lower(trim(licence)) WHEN 'mit license' THEN 'MIT' WHEN 'mit' THEN 'MIT' WHEN 'apache software license' THEN 'Apache-2.0' WHEN 'apache 2.0' THEN 'Apache-2.0' WHEN 'bsd license' THEN 'BSD-3-Clause' WHEN 'gpl-3.0' THEN 'GPL-3.0-only' ELSE trim(licence) END) AS licence FROM licences GROUP BY ALL)
+@query("""WITH n AS (SELECT name, version, min(CASE lower(trim(licence)) WHEN 'mit license' THEN 'MIT' WHEN 'mit' THEN 'MIT' WHEN 'apache software license' THEN 'Apache-2.0' WHEN 'bsd license' THEN 'BSD-3-Clause' WHEN 'isc license (iscl)' THEN 'ISC' WHEN 'mozilla public license 2.0 (mpl 2.0)' THEN 'MPL-2.0' ELSE trim(licence) END) AS licence FROM licences GROUP BY ALL)
 SELECT licence, count(*) AS n FROM n GROUP BY licence""")
 def licence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.licence_summary(frame(spark, sf_dir, "licences"))
