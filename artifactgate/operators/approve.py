@@ -50,6 +50,7 @@ def last_state_at(requests: DataFrame, scans: DataFrame) -> DataFrame:
     return both.withColumn("state", F.last("approved", ignorenulls=True).over(w)).where("kind = 1").select("uid", "digest", "ts", F.coalesce("state", F.lit(False)).alias("approved"))
 
 
+_KINDS = ("initContainers", "containers", "ephemeralContainers")
 _CONTAINERS = "array<struct<image:string>>"
 _POD = f"metadata:struct<labels:map<string,string>,annotations:map<string,string>>,spec:struct<initContainers:{_CONTAINERS},containers:{_CONTAINERS},ephemeralContainers:{_CONTAINERS}"
 #: A pod, or what holds the template of one.
@@ -63,32 +64,37 @@ def parsed(requests: DataFrame, label: str = "gate", verdict: str = "verdict", m
     a controller's spec. A workload opts in by the label's value true. Digests are
     read in either case, one of each word of the annotation, and compared in lower case.
     """
-    o = F.from_json("object", REQUEST)
+    # Exploded, so that a body is parsed once and not again in every branch that reads it.
+    once = lambda df, value: df.select("uid", "ts", F.explode(F.array(value)).alias("o"))
+    o = F.col("o")
     pod = o["kind"] == "Pod"
-    of = lambda part, name: F.when(pod, o[part][name]).otherwise(o["spec"]["template"][part][name])
-    images = F.filter(F.flatten(F.array_compact(F.array(*(F.transform(of("spec", k), lambda c: c["image"]) for k in ("initContainers", "containers", "ephemeralContainers"))))), lambda i: F.coalesce(i, F.lit("")) != "")
-    said = lambda name: F.coalesce(F.try_element_at(of("metadata", "annotations"), F.lit(name)), F.lit(""))
+    part = lambda name: F.when(pod, o[name]).otherwise(o["spec"]["template"][name])
+    containers = F.when(pod, F.struct(*(o["spec"][k] for k in _KINDS))).otherwise(F.struct(*(o["spec"]["template"]["spec"][k] for k in _KINDS)))
+    own = once(requests, F.from_json("object", REQUEST)).select("uid", "ts", F.explode(F.array(F.struct(part("metadata").alias("metadata"), containers.alias("spec")))).alias("o"))
+    images = F.filter(F.flatten(F.array_compact(F.array(*(F.transform(o["spec"][k], lambda c: c["image"]) for k in _KINDS)))), lambda i: F.coalesce(i, F.lit("")) != "")
+    said = lambda name: F.coalesce(F.try_element_at(o["metadata"]["annotations"], F.lit(name)), F.lit(""))
     digests = F.transform(F.split(said(models), r"[,\s]+"), lambda w: F.lower(F.regexp_extract(w, "(?:sha256:)?([a-fA-F0-9]{64})", 1)))
-    return requests.select(
-        "uid", "ts", F.coalesce(F.lower(F.try_element_at(of("metadata", "labels"), F.lit(label))) == "true", F.lit(False)).alias("opted_in"), F.coalesce(images, F.array().cast("array<string>")).alias("images"),
+    return own.select(
+        "uid", "ts", F.coalesce(F.lower(F.try_element_at(o["metadata"]["labels"], F.lit(label))) == "true", F.lit(False)).alias("opted_in"), F.coalesce(images, F.array().cast("array<string>")).alias("images"),
         F.upper(said(verdict)).alias("verdict"), F.array_distinct(F.filter(digests, lambda d: d != "")).alias("digests"),
     )
 
 
 def decided(requests: DataFrame, intervals: DataFrame) -> DataFrame:
-    """(uid, allowed, reasons, warnings) of parsed requests: workloads that did not opt in are let through without a word."""
+    """(uid, allowed, reasons, warnings) of parsed requests, as of their times: workloads that did not opt in are let through without a word."""
     asked = requests.select("uid", "ts", F.explode("digests").alias("digest")).distinct()
     missing = state_at(asked, intervals).where("NOT approved").groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set(F.substring("digest", 1, 12))), ",").alias("missing"))
-    # One row: whether anything at all has been approved up to now.
-    listed = intervals.where("approved").select(F.lit(True).alias("listed")).limit(1)
-    each = requests.join(missing, "uid", "left").join(F.broadcast(listed), F.lit(True), "left")
+    # One value: since when any digest has been approved at all.
+    since = intervals.where("approved").agg(F.min("from_ts")).first()[0]
+    each = requests.join(missing, "uid", "left")
+    listed = F.col("ts") >= F.lit(since) if since else F.lit(False)
     loose = F.exists("images", lambda i: ~F.contains(i, F.lit("@sha256:")))
     declares = F.size("digests") > 0
     reasons = F.array_compact(F.array(
         F.when(loose, F.lit("an image is not pinned by digest")),
         F.when(F.col("verdict").isin("FAIL", "BLOCKED"), F.concat(F.lit("the scan verdict is "), F.col("verdict"))),
-        F.when(declares & F.col("listed").isNull(), F.lit("models are declared but no approved digests are known")),
-        F.when(F.col("listed") & F.col("missing").isNotNull(), F.concat(F.lit("not approved: "), F.col("missing"))),
+        F.when(declares & ~listed, F.lit("models are declared but no approved digests are known")),
+        F.when(listed & F.col("missing").isNotNull(), F.concat(F.lit("not approved: "), F.col("missing"))),
     ))
     said = F.when(F.col("opted_in"), F.array_join(reasons, "; ")).otherwise("")
     warned = F.when(F.col("opted_in") & ~declares & (F.size("images") == 0), F.lit("no containers found")).otherwise("")

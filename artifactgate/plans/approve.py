@@ -46,11 +46,11 @@ def approval_by_last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_SPANS}, asked AS (SELECT uid, ts, lower(digest_a) AS digest FROM requests WHERE digest_a IS NOT NULL UNION SELECT uid, ts, lower(digest_b) FROM requests WHERE digest_b IS NOT NULL),
 miss AS (SELECT uid, array_to_string(list_sort(list_distinct(list(left(digest, 12)))), ',') AS missing FROM asked a WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.digest = a.digest AND s.approved AND a.ts >= s.from_ts AND (s.to_ts IS NULL OR a.ts < s.to_ts)) GROUP BY uid),
-known AS (SELECT count(*) > 0 AS listed FROM spans WHERE approved),
+known AS (SELECT min(from_ts) AS since FROM spans WHERE approved),
 said AS (SELECT r.uid, CASE WHEN opted_in THEN array_to_string(list_filter([CASE WHEN NOT contains(image, '@sha256:') THEN 'an image is not pinned by digest' END, CASE WHEN upper(verdict) IN ('FAIL', 'BLOCKED') THEN 'the scan verdict is ' || upper(verdict) END,
            CASE WHEN NOT listed AND r.uid IN (SELECT uid FROM asked) THEN 'models are declared but no approved digests are known' END, CASE WHEN listed AND missing IS NOT NULL THEN 'not approved: ' || missing END], lambda x: x IS NOT NULL), '; ') ELSE '' END AS reasons,
            CASE WHEN opted_in AND image IS NULL AND r.uid NOT IN (SELECT uid FROM asked) THEN 'no containers found' ELSE '' END AS warnings
-         FROM requests r CROSS JOIN known LEFT JOIN miss m ON m.uid = r.uid)
+         FROM (SELECT q.*, coalesce(q.ts >= k.since, false) AS listed FROM requests q CROSS JOIN known k) r LEFT JOIN miss m ON m.uid = r.uid)
 SELECT uid, reasons = '' AS allowed, reasons, warnings FROM said""")
 def admission_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pods, and controllers with a template of one, with digests in either case."""

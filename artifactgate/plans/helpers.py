@@ -29,7 +29,8 @@ def pickle_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.pickle_facts(frame(spark, sf_dir, "pickles")).select("target_id", "path", "module", "name", "error")
 
 
-@query()
+@query("""SELECT path AS file, module, name, 4 AS severity, category, invoked FROM (SELECT path, unnest(CASE doc_id % 5 WHEN 0 THEN [{'module': 'os', 'name': 'system', 'category': 'os-command', 'invoked': true}]
+  WHEN 2 THEN [{'module': 'builtins', 'name': 'eval', 'category': 'code-execution', 'invoked': true}, {'module': 'os', 'name': 'popen', 'category': 'os-command', 'invoked': true}] ELSE [] END, recursive := true) FROM pickles)""")
 def pickle_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = raw.pickle_facts(frame(spark, sf_dir, "pickles")).where("error IS NULL")
     return facts.import_findings(found.withColumnRenamed("path", "file"))
