@@ -5,7 +5,8 @@ and non-overlapping, and always kept. Further candidates (runs of digits, names,
 spelled-out addresses, account numbers, secrets) get votes from labellers of
 three sorts: shape patterns, gazetteers, and words of the context.
 Expectation-maximisation over the counts of vote patterns estimates each
-labeller's reliability for each kind; the posteriors label at most ``SAMPLE``
+labeller's reliability, and the share of personal data, for each kind, from a few
+votes that stand beforehand and all that are counted; the posteriors label at most ``SAMPLE``
 candidates, from which a logistic span classifier over shape and context
 features is fitted. It decides about every candidate of every text, those on
 which all labellers abstain included. The sample holds the candidates of the
@@ -43,8 +44,8 @@ KINDS = ("email", "ip", "card", "phone", "number", "name", "address", "account",
 BASE = KINDS[:4]
 SAMPLE = 20_000
 THRESHOLD = 0.5
-#: Times that a vote against counts at the start, trust in the labellers beforehand, and share of candidates held to be personal.
-AGAINST_WEIGHT, TRUST, PERSONAL = 3.0, 4.0, 0.45
+#: Times that a vote against counts at the start, votes that stand for each labeller beforehand, candidates that stand for a kind's share, and the share of them that is personal.
+AGAINST_WEIGHT, TRUST, STANDING, PERSONAL = 3.0, 20.0, 10.0, 0.45
 
 # Equal to the plain patterns of the contract, but linear in long runs: a start
 # inside a run can only match if the run's own start does.
@@ -160,7 +161,7 @@ def votes(text: str, start: int, end: int, kind: str) -> list[int]:
         check = 1
     gazetteer = (1 if words and words[0] in GIVEN else -1) if kind == "name" else int(kind == "secret" and span.startswith(CREDENTIALS))
     title = 1 if before and before[-1] in TITLES else 0
-    context = 1 if not speaks.isdisjoint(before) else -1 if not denies.isdisjoint(before) else 0
+    context = int(not speaks.isdisjoint(before)) - int(not denies.isdisjoint(before))
     behind = -1 if not denies.isdisjoint(after) or text[end : end + 1] in ("%", "$", "€") and kind == "number" else 0
     crowd = 0
     if kind != "secret":
@@ -220,7 +221,9 @@ def fitted(rows: DataFrame, id_col: str | None) -> np.ndarray | None:
     known = []
     for kind in sorted({r["kind"] for r in counts}):
         own = sorted(((list(r["votes"]), r["count"]) for r in counts if r["kind"] == kind))
-        known += [(kind, p, float(q)) for (p, _), q in zip(own, posteriors(own, against=AGAINST_WEIGHT, silent=False, trust=TRUST, share_of_1=PERSONAL))]
+        found = posteriors(own, against=AGAINST_WEIGHT, silent=False, trust=TRUST, prior=(STANDING * PERSONAL, STANDING * (1 - PERSONAL)))
+        # Where all are silent there is nothing to learn from but the share held beforehand; the classifier decides.
+        known += [(kind, p, float(q) if any(p) else PERSONAL) for (p, _), q in zip(own, found)]
     if not known:
         return None
     sides = {q >= THRESHOLD for _, _, q in known}

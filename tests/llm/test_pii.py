@@ -97,3 +97,85 @@ def test_candidates_are_those_of_the_plain_patterns_without_overlaps(spark):
         assert all(len(c.votes) == pii.LABELLERS and len(c.f) == pii.FEATURES for c in r._candidates)
         spans = sorted((c.lo, c.hi) for c in r._candidates)
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+# --- the label model -----------------------------------------------------------
+
+
+def plain_em(patterns, steps, against, trust, prior):
+    """The same mixture, candidate by candidate and labeller by labeller."""
+    rows = [p for p, n in patterns for _ in range(n)]
+    chance = {tuple(p): min(0.95, max(0.05, 0.5 + 0.2 * sum(against * v if v < 0 else v for v in p))) for p, _ in patterns}
+    for _ in range(steps):
+        odds = {}
+        for label in (1, -1):
+            weight = {k: q if label == 1 else 1 - q for k, q in chance.items()}
+            total = sum(weight[tuple(r)] for r in rows)
+            rates = []
+            for j in range(len(rows[0])):
+                right = sum(weight[tuple(r)] for r in rows if r[j] == label) + 0.8 * trust
+                wrong = sum(weight[tuple(r)] for r in rows if r[j] == -label) + 0.2 * trust
+                rates.append({label: right / (right + wrong), -label: wrong / (right + wrong), 0: 1.0})
+            before = prior[0] if label == 1 else prior[1]
+            for k in chance:
+                x = (total + before) / (len(rows) + sum(prior))
+                for j, v in enumerate(k):
+                    x *= rates[j][v]
+                odds.setdefault(k, []).append(x)
+        chance = {k: a / (a + b) for k, (a, b) in odds.items()}
+    return [chance[tuple(p)] for p, _ in patterns]
+
+
+def test_label_model_matches_plain_loops():
+    from artifactgate.llm.weak import posteriors
+
+    rng = random.Random(4)
+    counts = {}
+    for _ in range(300):
+        truth = rng.random() < 0.3
+        votes = tuple(0 if rng.random() < 0.4 else (1 if (rng.random() < good) == truth else -1) for good in (0.9, 0.7, 0.55, 0.5))
+        counts[votes] = counts.get(votes, 0) + 1
+    patterns = sorted((list(k), n) for k, n in counts.items())
+    got = posteriors(patterns, steps=12, against=3.0, silent=False, trust=20.0, prior=(4.5, 5.5))
+    assert max(abs(a - b) for a, b in zip(got, plain_em(patterns, 12, 3.0, 20.0, (4.5, 5.5)))) < 1e-9
+
+
+def test_votes_move_reliabilities():
+    """A labeller that is right by chance loses its say; a lone one is believed."""
+    from artifactgate.llm.weak import posteriors
+
+    rng = random.Random(6)
+    counts = {}
+    for _ in range(20_000):
+        truth = rng.random() < 0.5
+        votes = tuple(1 if (rng.random() < good) == truth else -1 for good in (0.9, 0.85, 0.8, 0.5))
+        counts[votes] = counts.get(votes, 0) + 1
+    patterns = sorted((list(k), n) for k, n in counts.items())
+    got = dict(zip((tuple(p) for p, _ in patterns), posteriors(patterns, silent=False, trust=20.0, prior=(4.5, 5.5))))
+    assert abs(got[1, 1, -1, 1] - got[1, 1, -1, -1]) < 0.05 and abs(got[1, -1, -1, 1] - got[1, -1, -1, -1]) < 0.1
+    assert got[1, 1, 1, -1] > 0.95 and got[-1, -1, -1, 1] < 0.05
+    lone = posteriors([([1, 0], 5), ([0, 0], 50)], silent=False, trust=20.0, prior=(4.5, 5.5))
+    assert lone[0] > 0.5
+
+
+def test_look_alikes_are_left_alone(spark):
+    """Digests, years, dates, versions and order numbers, beside planted tokens and telephone numbers."""
+    rng = random.Random(12)
+    hexa = lambda n: f"%0{n}x" % rng.getrandbits(4 * n)
+    rows, planted = [], {}
+    for k in range(1200):
+        text = "Some words in front of it "
+        kind = k % 8
+        if kind == 0:
+            planted[k] = "secret"
+            text += f'api_key = "{hexa(40)}" and more'
+        elif kind == 1:
+            planted[k] = "number"
+            text += f"please call 555-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)} today"
+        else:
+            text += [f"commit key {hexa(40)} merged", f"contact page 2024 2025 2026 table {k}", f"order {rng.randrange(10**7, 10**8)} shipped", f"sha256 digest {hexa(64)} of the file", f"version 1.2.{k} of 2024-05-17", f"see lines 1000 1001 1002 of section {k}"][kind - 2]
+        rows.append((k, text))
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    hit = sum(kind in got[k] for k, kind in planted.items())
+    wrong = sum(any(x in got[k] for x in ("secret", "number")) for k, _ in rows if k not in planted)
+    assert hit >= 0.95 * len(planted) and wrong <= 0.02 * (len(rows) - len(planted)), (hit, len(planted), wrong)
