@@ -161,11 +161,13 @@ def candidates(codes_of: DataFrame, index: Index) -> DataFrame:
                         rows = np.flatnonzero(unsure & bit) if bit else np.arange(len(own))
                         if len(rows):
                             take = pa.array(rows)
-                            yield pa.RecordBatch.from_arrays([pa.array((own[rows] ^ bit) + (t << 32)), *(c.take(take) for c in part.columns), pa.array(np.full(len(rows), not bit))], ["key", "cls", "length", "code", "owner"])
+                            yield pa.RecordBatch.from_arrays([pa.array((own[rows] ^ bit) + (t << 32)), *(c.take(take) for c in part.columns[:2]), pa.array(np.full(len(rows), not bit))], ["key", "cls", "length", "owner"])
 
-    members = codes_of.select("cls", "length", "code").mapInArrow(probe, "key bigint, cls bigint, length int, code binary, owner boolean")
+    # Memberships go without codes; only those of keys that have a pair to look at are joined with them.
+    members = codes_of.select("cls", "length", "code").mapInArrow(probe, "key bigint, cls bigint, length int, owner boolean")
     sizes = stored(members.groupBy("key", "length").agg(F.count("*").alias("n"), F.max("owner").alias("owned")).where("n > 1 AND owned").select("key", "length", F.ceil(F.col("n") / BLOCK_NODES).alias("blocks")), "sizes")
-    packed = members.join(sizes, ["key", "length"]).groupBy("key", "length", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("cls", "owner", "code")).alias("rows"))
+    live = members.join(sizes, ["key", "length"]).join(codes_of.select("cls", "code"), "cls")
+    packed = live.groupBy("key", "length", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("cls", "owner", "code")).alias("rows"))
     packed = stored(packed, "tables")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
