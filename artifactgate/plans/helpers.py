@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from artifactgate.helpers import bytes as raw
 from artifactgate.helpers import scan
 from artifactgate.operators import facts, indicators
+from artifactgate.plans.findings import FINDINGS_SQL
 from artifactgate.plans.fixtures import FIXTURES, frame
 from artifactgate.plans.registry import query, quoted
 
@@ -36,11 +37,20 @@ def pickle_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.import_findings(found.withColumnRenamed("path", "file"))
 
 
-FIXTURES["sources"] = lambda d: f"SELECT source AS target_id, concat(CAST(doc_id AS STRING), '.py') AS path, {d.bytes('concat(' + repr_sql('import os') + ', chr(10), CASE WHEN doc_id % 7 = 0 THEN ' + repr_sql('def (') + ' ELSE ' + repr_sql('x = input()\ny = x\ndef f(a):\n    z = y\n    os.system(z)\neval(y)') + ' END)')} AS content, doc_id FROM {d.table('documents')}"
+#: Sources around each document's words: calls under their names and behind assignments, a decoded value that is run, reads of the environment, and one that does not parse.
+_SOURCES = [
+    'import os\nnote = "OWN"\nx = input()\ny = x\ndef f(a):\n    z = y\n    os.system(z)\neval(y)\n',
+    'import base64, os\nnote = "OWN"\nblob = base64.b64decode(note)\ncode = blob\nexec(code)\nkey = os.environ\n',
+    'def (\n# OWN\n',
+    '"""OWN"""\nimport requests\ndef send(u):\n    return requests.get(u)\nprint("OWN")\n',
+]
+FIXTURES["sources"] = lambda d: f"""
+        SELECT source AS target_id, concat(CAST(doc_id AS STRING), '.py') AS path, doc_id, {d.bytes("replace(CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN {repr_sql(x)}" for k, x in enumerate(_SOURCES)) + f" END, 'OWN', regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', ' '{d.everywhere}))")} AS content FROM {d.table("documents")}"""
 
 
-@query("""SELECT target_id, path, 'call' AS fact, c.name, CAST(c.line AS INT) AS line, c.top AS on_import, c.arg FROM sources, (VALUES ('input', 2, true, NULL), ('os.system', 6, false, 'z'), ('eval', 7, true, 'y')) AS c(name, line, top, arg) WHERE doc_id % 7 <> 0
-UNION ALL SELECT target_id, path, 'error', 'SyntaxError', 0, false, NULL FROM sources WHERE doc_id % 7 = 0""")
+@query("""SELECT target_id, path, c.fact, c.name, CAST(c.line AS INT) AS line, c.top AS on_import, c.arg FROM sources JOIN (VALUES
+  (0, 'call', 'input', 3, true, NULL), (0, 'call', 'os.system', 7, false, 'z'), (0, 'call', 'eval', 8, true, 'y'), (1, 'call', 'base64.b64decode', 3, true, 'note'), (1, 'call', 'exec', 5, true, 'code'),
+  (2, 'error', 'SyntaxError', 0, false, NULL), (3, 'call', 'requests.get', 4, false, 'u'), (3, 'call', 'print', 5, true, NULL)) AS c(kind, fact, name, line, top, arg) ON c.kind = doc_id % 4""")
 def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.source_facts(frame(spark, sf_dir, "sources")).where("fact IN ('call', 'error')").select("target_id", "path", "fact", "name", "line", "on_import", "arg")
 
@@ -63,15 +73,20 @@ def xor_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("target_id", "path", "rule_id", "xor_key", "plain", "severity", "reason").distinct()
 
 
-@query()
+FIXTURES["low_texts"] = lambda d: f"SELECT target_id, path, concat('https://evil.example.net/x ', regexp_replace(text, '[^ -~]', ''{d.everywhere})) AS text FROM text_artifacts"
+
+
+@query(f"{FINDINGS_SQL.replace('FROM text_artifacts', 'FROM low_texts')} SELECT target_id, path, rule_id, key, CAST(severity AS INT) AS severity FROM content")
 def low_plane_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators in the lowest bytes of 4-byte elements: each text's characters spread over one plane."""
     spread = F.encode(F.regexp_replace("text", "(.)", "$1\x00\x00\x00"), "ISO-8859-1")
-    tensors = frame(spark, sf_dir, "text_artifacts").select("target_id", "path", F.concat(F.lit("https://evil.example.net/x "), F.regexp_replace("text", r"[^\x20-\x7e]", "")).alias("text")).select("target_id", "path", spread.alias("content"))
+    tensors = frame(spark, sf_dir, "low_texts").select("target_id", "path", spread.alias("content"))
     return indicators.indicator_findings(raw.low_planes(tensors, most=None)).select("target_id", "path", "rule_id", "key", "severity")
 
 
-@query()
+@query("""SELECT path AS file, c.rule_id, c.name, c.severity, c.category, c.line, c.top AS on_import FROM sources JOIN (VALUES
+  (0, 'PY_DANGEROUS_CALL', 'os.system', 4, 'os-command', 7, false), (0, 'PY_DANGEROUS_CALL', 'eval', 4, 'code-execution', 8, true), (1, 'PY_DANGEROUS_CALL', 'exec', 4, 'code-execution', 5, true), (1, 'PY_DANGEROUS_CALL', 'base64.b64decode', 3, 'obfuscation', 3, true),
+  (1, 'PY_TAINTED_FLOW', 'exec', 4, 'code-execution', 5, true), (1, 'PY_ENV_HARVEST', 'os.environ', 2, 'secret', 6, NULL), (3, 'PY_DANGEROUS_CALL', 'requests.get', 3, 'network', 4, false)) AS c(kind, rule_id, name, severity, category, line, top) ON c.kind = doc_id % 4""")
 def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dangerous calls, environment reads and flows of decoded data in Python sources."""
     found = raw.source_facts(frame(spark, sf_dir, "sources")).withColumnRenamed("path", "file")
