@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from artifactgate import rules
 
 LEAST = 8
-#: Printable runs, and those in UTF-16 of either byte order.
-RUNS = [(0, re.compile(rb"[\x20-\x7e]{%d,}" % LEAST)), (1, re.compile(rb"(?:[\x20-\x7e]\x00){%d,}" % LEAST)), (2, re.compile(rb"(?:\x00[\x20-\x7e]){%d,}" % LEAST))]
+#: Printable runs, and those in UTF-16, with the zero byte behind each character or in front of it. Of a run that reads either way, only the reading counts that has all of its characters.
+RUNS = [(0, re.compile(rb"[\x20-\x7e]{%d,}" % LEAST)), (1, re.compile(rb"(?<!\x00)(?:[\x20-\x7e]\x00){%d,}" % LEAST)), (2, re.compile(rb"(?<![\x20-\x7e])(?:\x00[\x20-\x7e]){%d,}" % LEAST))]
 
 #: Label -> pieces of which any match holds one, for rules that name no piece or one that is everywhere.
 PIECES = {
@@ -96,7 +96,7 @@ def matches_in(data: bytes, lo: int, hi: int, hosts: list[str]) -> Iterator[tupl
                 if not any(p in run for p in rule.pieces):
                     continue
                 for m in rule.pattern.finditer(run):
-                    at = found.start() + (m.start() if not kind else 2 * m.start())
+                    at = found.start() + (m.start() if not kind else 2 * m.start() + kind - 1)
                     if not lo <= at < hi or not _counts(rule, m[0], hosts):
                         continue
                     if rule.rule_id == "EXFIL_SECRET":

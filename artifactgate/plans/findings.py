@@ -68,6 +68,14 @@ def windowed_indicator_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.windowed_findings(frame(spark, sf_dir, "text_artifacts"), window=16_384, overlap=4096)
 
 
+@query(f"{FINDINGS_SQL} SELECT target_id, path, rule_id, key, CAST(severity AS INT) AS severity, match, CAST(rank AS INT) AS rank FROM content")
+def wide_indicator_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in UTF-16 of either byte order give the findings of the plain ones."""
+    text = F.col("text")
+    wide = F.when(F.length(text) % 2 == 0, F.encode(text, "UTF-16LE")).otherwise(F.encode(text, "UTF-16BE"))
+    return indicators.indicator_findings(frame(spark, sf_dir, "text_artifacts").select("target_id", "path", wide.alias("content")))
+
+
 @query()
 def encoded_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.encoded_findings(frame(spark, sf_dir, "text_artifacts"))
