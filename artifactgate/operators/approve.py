@@ -115,6 +115,12 @@ def parse_digests(lines: DataFrame) -> DataFrame:
     return kept.select(F.lower(F.regexp_extract("value", "(?:sha256:)?([a-fA-F0-9]{64})", 1)).alias("digest")).where("digest <> ''").distinct()
 
 
+def changed_digests(known: DataFrame, approved: DataFrame, revoked: DataFrame) -> DataFrame:
+    """(digest): the known digests and those approved, without those revoked; each once, in either case of letters."""
+    low = lambda df: df.select(F.lower("digest").alias("digest"))
+    return low(known).unionByName(low(approved)).distinct().join(low(revoked).distinct(), "digest", "left_anti")
+
+
 def read_digests(spark, paths: list[str]) -> DataFrame:
     """Digest feeds, read anew at every call; files that have gone are passed over."""
     return parse_digests(spark.read.option("ignoreMissingFiles", True).text(paths))

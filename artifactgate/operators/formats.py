@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from artifactgate import rules
 from artifactgate.functions import text as fn
 from artifactgate.helpers.archives import small_members
-from artifactgate.helpers.bytes import json_facts, xml_values, yaml_facts
+from artifactgate.helpers.bytes import json_facts, whole_pickles, xml_values, yaml_facts
 from artifactgate.operators.facts import classified_imports
 
 
@@ -76,6 +76,27 @@ def detect(path: Column, content: Column) -> Column:
     return out
 
 
+#: Extension and format of files whose real first bytes can't begin a pickle, and bytes up to which one is read through.
+STRUCTURED = {".onnx": "onnx", ".pb": "tf_savedmodel", ".tflite": "tflite", ".pte": "executorch", ".pdmodel": "paddle"}
+MOST_TRIED = 4_000_000
+
+
+def disguised_files(artifacts: DataFrame) -> DataFrame:
+    """(target_id, path, claimed, format) of files of a structured format by name that are something else.
+
+    A pickle without a protocol has no first bytes of its own: a file that begins like one is read through as opcodes.
+    """
+    content, ext = F.col("content"), extension(F.col("path"))
+    rows = artifacts.where(ext.isin(*STRUCTURED)).select("target_id", "path", "content", ext.alias("claimed"))
+    # Exploded, so that the filter does not repeat the whole detection.
+    found = rows.select("target_id", "path", "claimed", F.explode(F.array(detect(F.col("path"), content))).alias("format"))
+    tried = whole_pickles(rows.where(is_loose_pickle(content) & (F.length(content) <= MOST_TRIED))).withColumn("pickled", F.lit(True))
+    want = F.create_map(*(F.lit(x) for kv in STRUCTURED.items() for x in kv))
+    # First bytes that tell a format go before what reads as a pickle.
+    own = F.when(F.col("pickled") & (F.col("format") == F.element_at(want, F.col("claimed"))), F.lit("pickle")).otherwise(F.col("format"))
+    return found.join(tried, ["target_id", "path"], "left").select("target_id", "path", "claimed", own.alias("format")).where(F.element_at(want, F.col("claimed")) != F.col("format"))
+
+
 def carries_magic(content: Column) -> Column:
     """First bytes of a scannable binary format."""
     return (

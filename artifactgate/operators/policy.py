@@ -108,14 +108,22 @@ def overridden(findings: DataFrame, policies: DataFrame, overrides: DataFrame) -
     return found.select("policy", "target_id", "rule_id", F.when(down, rules.LOW).otherwise(F.col("severity")).alias("severity"), "n", F.coalesce(F.col("action") == "deny", F.lit(False)).alias("blocks"), down.alias("downgraded"))
 
 
-def verdicts(targets: DataFrame, policies: DataFrame, of_policy: DataFrame, effective: DataFrame) -> DataFrame:
-    """(policy, target_id, verdict, n_findings, n_policy_findings, max_severity): policy findings block or warn, but never fail."""
+def verdicts(targets: DataFrame, policies: DataFrame, of_policy: DataFrame, effective: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(policy, target_id, verdict, n_findings, n_policy_findings, max_severity): policy findings block or warn, but never fail.
+
+    existing: (target_id) of the targets that are there; any other is an ERROR, whatever policies say of it.
+    """
     a = of_policy.groupBy("policy", "target_id").agg(F.bool_or("blocks").alias("blocked"), F.count("*").alias("n_policy_findings"))
     b = effective.groupBy("policy", "target_id").agg(F.bool_or("blocks").alias("denied"), F.sum("n").alias("n_findings"), F.max("severity").alias("max_severity"))
     each = targets.select("target_id").crossJoin(F.broadcast(policies.select(F.col("name").alias("policy"), "fail_on")))
     all_ = each.join(a, ["policy", "target_id"], "left").join(b, ["policy", "target_id"], "left")
+    there = F.lit(True)
+    if existing is not None:
+        all_ = all_.join(existing.select("target_id").distinct().withColumn("exists", F.lit(True)), "target_id", "left")
+        there = F.coalesce("exists", F.lit(False))
     verdict = (
-        F.when(F.coalesce("blocked", F.lit(False)) | F.coalesce("denied", F.lit(False)), "BLOCKED")
+        F.when(~there, "ERROR")
+        .when(F.coalesce("blocked", F.lit(False)) | F.coalesce("denied", F.lit(False)), "BLOCKED")
         .when(F.col("max_severity") >= F.col("fail_on"), "FAIL")
         .when((F.coalesce("n_findings", F.lit(0)) + F.coalesce("n_policy_findings", F.lit(0))) > 0, "WARN")
         .otherwise("PASS")

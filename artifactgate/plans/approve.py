@@ -227,3 +227,13 @@ r AS (SELECT client, ts, n, t, 1.0::DOUBLE AS left_over, true AS ok FROM o WHERE
 SELECT client, ts, ok AS allowed, CASE WHEN ok THEN 0.0 ELSE round((1 - left_over) * 30, 3) END AS retry_after FROM r""", recursive=True)
 def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.limited(frame(spark, sf_dir, "calls_of_clients"), per_minute=2).withColumn("retry_after", F.round("retry_after", 3))
+
+
+FIXTURES["approved_list"] = lambda d: f"SELECT DISTINCT upper({d.sha('CAST(user_id AS STRING)')}) AS digest FROM {d.table('events')} WHERE event_type = 'purchase'"
+FIXTURES["revoked_list"] = lambda d: f"SELECT {d.sha('CAST(user_id AS STRING)')} AS digest FROM {d.table('events')} WHERE event_type = 'error'"
+
+
+@query(f"WITH {_LAST} SELECT digest FROM (SELECT digest FROM l WHERE approved UNION SELECT lower(digest) FROM approved_list) WHERE digest NOT IN (SELECT digest FROM revoked_list)")
+def changed_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is approved after a list of approvals and one of revocations."""
+    return approve.changed_digests(approve.current_approvals(frame(spark, sf_dir, "scans")), frame(spark, sf_dir, "approved_list"), frame(spark, sf_dir, "revoked_list"))

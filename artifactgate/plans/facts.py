@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from artifactgate import rules
 from artifactgate.operators import facts, intel, trust
-from artifactgate.plans.fixtures import frame
+from artifactgate.plans.fixtures import FIXTURES, frame
 from artifactgate.plans.registry import query, quoted
 
 _DANGER = "danger(prefix, severity, category) AS (VALUES " + ", ".join(f"({quoted(p)}, {s}, {quoted(c)})" for p, s, c in rules.DANGEROUS_IMPORTS) + ")"
@@ -146,3 +146,13 @@ def signature_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_STATUS} SELECT target_id, 'SIGNATURE_' || upper(status) AS rule_id, CASE WHEN status IN ('invalid', 'revoked') THEN 3 ELSE 2 END AS severity FROM st WHERE status IN ('invalid', 'revoked', 'untrusted', 'expired')")
 def signature_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.status_findings(_status(spark, sf_dir))
+
+
+FIXTURES["bundles"] = lambda d: f"""
+        SELECT source AS target_id, min(doc_id) % 5 <> 1 AS available, min(doc_id) % 3 <> 0 AS verified, CASE WHEN min(doc_id) % 2 = 0 THEN concat('ci@', source) END AS identity FROM {d.table("documents")} WHERE source <> 'src2' GROUP BY source"""
+
+
+@query("""WITH s AS (SELECT t.target_id, CASE WHEN b.target_id IS NULL THEN 'unsigned' WHEN NOT available THEN 'unavailable' WHEN NOT verified THEN 'invalid' WHEN b.identity IS NULL THEN 'untrusted' ELSE 'verified' END AS status FROM targets t LEFT JOIN bundles b USING (target_id))
+SELECT target_id, 'SIGSTORE_' || upper(status) AS rule_id, CASE status WHEN 'invalid' THEN 3 WHEN 'unavailable' THEN 1 ELSE 2 END AS severity FROM s WHERE status NOT IN ('verified', 'unsigned')""")
+def identity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trust.status_findings(trust.identity_status(frame(spark, sf_dir, "targets"), frame(spark, sf_dir, "bundles")), "SIGSTORE")

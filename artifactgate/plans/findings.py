@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from artifactgate import rules
 from artifactgate.functions import text as fn
 from artifactgate.operators import indicators, policy
-from artifactgate.plans.fixtures import frame
+from artifactgate.plans.fixtures import FIXTURES, frame
 from artifactgate.plans.registry import query, quoted
 
 _RUNS = r"""runs AS (
@@ -206,3 +206,20 @@ def fleet_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules_of = frame(spark, sf_dir, "policies")
     effective = policy.overridden(indicators.indicator_findings(frame(spark, sf_dir, "text_artifacts")), rules_of, frame(spark, sf_dir, "overrides"))
     return policy.verdicts(frame(spark, sf_dir, "targets"), rules_of, said_by_policies(spark, sf_dir), effective)
+
+
+FIXTURES["asked"] = lambda d: f"SELECT source AS target_id FROM {d.table('documents')} GROUP BY source UNION ALL SELECT concat('missing/', n_name) AS target_id FROM {d.table('nation')}"
+
+
+@query(
+    f"""WITH {_POLICY}, {_OVERRIDDEN.format(source="findings")},
+b AS (SELECT policy, target_id, bool_or(blocks) AS blocks, count(*) AS n FROM said GROUP BY ALL), e AS (SELECT policy, target_id, bool_or(blocks) AS blocks, sum(n) AS n, max(severity) AS ms FROM eff GROUP BY ALL)
+SELECT p.name AS policy, t.target_id, CASE WHEN t.target_id NOT IN (SELECT target_id FROM files) THEN 'ERROR' WHEN coalesce(b.blocks, false) OR coalesce(e.blocks, false) THEN 'BLOCKED' WHEN ms >= fail_on THEN 'FAIL' WHEN coalesce(b.n, 0) + coalesce(e.n, 0) > 0 THEN 'WARN' ELSE 'PASS' END AS verdict
+FROM policies p CROSS JOIN asked t LEFT JOIN b ON b.policy = p.name AND b.target_id = t.target_id LEFT JOIN e ON e.policy = p.name AND e.target_id = t.target_id"""
+)
+def asked_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of targets that somebody asks for, some of which are not there."""
+    rules_of = frame(spark, sf_dir, "policies")
+    effective = policy.overridden(frame(spark, sf_dir, "findings"), rules_of, frame(spark, sf_dir, "overrides"))
+    out = policy.verdicts(frame(spark, sf_dir, "asked"), rules_of, said_by_policies(spark, sf_dir), effective, frame(spark, sf_dir, "files"))
+    return out.select("policy", "target_id", "verdict")

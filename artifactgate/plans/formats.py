@@ -43,12 +43,17 @@ def format_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "artifacts").select("path", formats.detect(F.col("path"), F.col("content")).alias("format"))
 
 
-@query(f"WITH {_BYTES}, f AS (SELECT path, ext, {_DETECT} AS format FROM s) SELECT path, ext AS claimed, format FROM f WHERE (ext = '.onnx' AND format <> 'onnx') OR (ext = '.pb' AND format <> 'tf_savedmodel') OR (ext = '.tflite' AND format <> 'tflite') OR (ext = '.pte' AND format <> 'executorch')")
+#: Files of a structured format by name around each document's words: a pickle without a protocol, text that only begins like one, one with a protocol, another format, and what they claim to be.
+FIXTURES["disguises"] = lambda d: f"""
+        SELECT target_id, path, doc_id, CASE doc_id % 7 WHEN 0 THEN {d.bytes("concat('cos', chr(10), 'system', chr(10), '(V', own, chr(10), 'tR.')")} WHEN 1 THEN {d.bytes("concat('cos ', own)")} WHEN 2 THEN unhex('80045D2E') || {d.bytes("own")}
+               WHEN 3 THEN unhex('47475546') || {d.bytes("own")} WHEN 4 THEN unhex('0000000054464C33') || {d.bytes("own")} WHEN 5 THEN {d.bytes("concat('(V', own, chr(10), 'p0', chr(10), '.')")} ELSE unhex('080A') || {d.bytes("own")} END AS content
+        FROM (SELECT source AS target_id, concat('w/', CAST(doc_id AS STRING), CASE doc_id % 5 WHEN 0 THEN '.onnx' WHEN 1 THEN '.pb' WHEN 2 THEN '.TFLITE' WHEN 3 THEN '.pte' ELSE '.pdmodel' END) AS path, doc_id, regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', ' '{d.everywhere}) AS own FROM {d.table("documents")}) x"""
+
+
+@query("""SELECT target_id, path, ['.onnx', '.pb', '.tflite', '.pte', '.pdmodel'][doc_id % 5 + 1] AS claimed, CASE doc_id % 7 WHEN 3 THEN 'gguf' WHEN 4 THEN 'tflite' ELSE 'pickle' END AS format
+FROM disguises WHERE doc_id % 7 IN (0, 2, 3, 5) OR (doc_id % 7 = 4 AND doc_id % 5 <> 2)""")
 def disguised_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Exploded, so that the filter does not repeat the whole detection.
-    found = frame(spark, sf_dir, "artifacts").select("path", formats.extension(F.col("path")).alias("claimed"), F.explode(F.array(formats.detect(F.col("path"), F.col("content")))).alias("format"))
-    want = F.create_map(*map(F.lit, (".onnx", "onnx", ".pb", "tf_savedmodel", ".tflite", "tflite", ".pte", "executorch")))
-    return found.where(F.try_element_at(want, F.col("claimed")) != F.col("format"))
+    return formats.disguised_files(frame(spark, sf_dir, "disguises"))
 
 
 @query(f"WITH {_BYTES} SELECT path FROM s WHERE NOT contains(path, '/.git/') AND (ext NOT IN ({', '.join(repr(e) for e in formats.DOCUMENT_EXTENSIONS)}) OR (ext = '.json' AND contains(lower(name), 'config')) OR {_MAGIC})")
