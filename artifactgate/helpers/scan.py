@@ -82,6 +82,36 @@ def _counts(rule: Rule, m: bytes, hosts: list[str]) -> bool:
     return rule.rule_id != "EXFIL_IP_ENDPOINT" or int(m.rpartition(b":")[2]) > 10
 
 
+def _plain_runs(data: bytes, live: list[Rule]) -> Iterator[tuple[int, bytes, list[Rule]]]:
+    """(offset, run, rules) of the printable runs that hold a piece of a rule, in order: other runs are not looked at."""
+    odd = None
+    of: dict[tuple[int, int], list[Rule]] = {}
+    for rule in live:
+        seen = set()
+        for piece in rule.pieces:
+            at = data.find(piece)
+            while at >= 0:
+                if odd is None:
+                    a = np.frombuffer(data, dtype=np.uint8)
+                    odd = np.flatnonzero((a < 0x20) | (a > 0x7E))
+                k = int(np.searchsorted(odd, at))
+                lo, hi = int(odd[k - 1]) + 1 if k else 0, int(odd[k]) if k < len(odd) else len(data)
+                if hi - lo >= LEAST and lo not in seen:
+                    seen.add(lo)
+                    of.setdefault((lo, hi), []).append(rule)
+                at = data.find(piece, max(hi, at + 1))
+    for (lo, hi), own in sorted(of.items(), key=lambda x: x[0]):
+        yield lo, data[lo:hi], own
+
+
+def _wide_runs(data: bytes, kind: int, runs: re.Pattern, live: list[Rule]) -> Iterator[tuple[int, bytes, list[Rule]]]:
+    for found in runs.finditer(data):
+        run = found[0][kind - 1 :: 2]
+        own = [r for r in live if any(p in run for p in r.pieces)]
+        if own:
+            yield found.start(), run, own
+
+
 def matches_in(data: bytes, lo: int, hi: int, hosts: list[str]) -> Iterator[tuple[int, int, Rule, int, bytes]]:
     """(kind of run, offset of the run, rule, offset, match) of the matches that start in data[lo:hi]."""
     for kind, runs in RUNS if b"\0" in data else RUNS[:1]:
@@ -89,14 +119,11 @@ def matches_in(data: bytes, lo: int, hi: int, hosts: list[str]) -> Iterator[tupl
         live = [r for r in RULES if any(p in text for p in r.pieces) and (r.label != "ip" or _DIGITS.search(text))]
         if not live:
             continue
-        for found in runs.finditer(data):
-            run = found[0] if not kind else found[0][kind - 1 :: 2]
+        for begin, run, own in _wide_runs(data, kind, runs, live) if kind else _plain_runs(data, live):
             weighty = None
-            for rule in live:
-                if not any(p in run for p in rule.pieces):
-                    continue
+            for rule in own:
                 for m in rule.pattern.finditer(run):
-                    at = found.start() + (m.start() if not kind else 2 * m.start() + kind - 1)
+                    at = begin + (m.start() if not kind else 2 * m.start() + kind - 1)
                     if not lo <= at < hi or not _counts(rule, m[0], hosts):
                         continue
                     if rule.rule_id == "EXFIL_SECRET":
@@ -104,7 +131,7 @@ def matches_in(data: bytes, lo: int, hi: int, hosts: list[str]) -> Iterator[tupl
                             weighty = len(run) < 14 or is_weighty(run)
                         if weighty:
                             break
-                    yield kind, found.start(), rule, at, m[0]
+                    yield kind, begin, rule, at, m[0]
 
 
 _OUT = "kind int, run_at bigint, rule_no int, at bigint, rule_id string, severity int, key string, match string"
