@@ -104,3 +104,16 @@ def test_decontamination_edge_cases(spark):
     spans = {r.doc_id: r.text for r in decontaminate.decontaminate(frame, bench, mode="spans").collect()}
     assert spans[1] == "short !" and spans[2] is None and "k3" not in spans[5] and "K3" not in spans[0]
     assert decontaminate.report(frame.limit(0), bench.limit(0)).count() == 0
+
+
+def test_component_steps_run_in_tasks_by_their_links(spark):
+    """Whatever the number of shuffle partitions, a few links are not dealt over all of them."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        out = connected_components(spark.createDataFrame([(k, k + 1) for k in range(6)], "a bigint, b bigint"))
+        assert out.rdd.getNumPartitions() < 40 and {(r.node, r.component) for r in out.collect()} == {(k, 0) for k in range(7)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
