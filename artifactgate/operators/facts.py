@@ -85,7 +85,7 @@ def _closure(known: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     end when there is nothing new, so that chains may be of any length.
     """
     new = known = written(known, "known")
-    step_of = edges.select(*key, F.col("src").alias("name"), "dst").distinct()
+    step_of = written(edges.select(*key, F.col("src").alias("name"), "dst").distinct(), "edges")
     values = [c for c in known.columns if c not in (*key, "name")]
     while True:
         step = new.join(step_of, [*key, "name"]).select(*key, F.col("dst").alias("name"), *values)
